@@ -100,3 +100,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         if r.doc_id not in got or r.text < got[r.doc_id][0]:
             got[r.doc_id] = (r.text, r.y)
     return [got[k] for k in sorted(got)]
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed public vocabulary file `name` is; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

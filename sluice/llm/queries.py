@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, mixing, quality_rules, simhash, topk
-from .common import table
+from . import chat, html, mixing, packing, quality_rules, simhash, topk
+from .common import table, tokenizer_path
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, packed into sequences."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 OP5_SQL = """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS v
@@ -136,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_topk": op5_topk,
         "op6_quality_rules": op6_quality_rules,
+        "op9_packing": op9_packing,
     }
 
 
