@@ -72,8 +72,8 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int = 17) -> list[tuple[str, int]]:
-    """At most `per_class` texts of each label value, in the order of a seeded hash
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], seed: int = 17) -> list[tuple[str, int]]:
+    """At most `per_class[y]` texts of each label value y, in the order of a seeded hash
     of doc_id; rows with crc32(doc_id) mod 5 = 0 are never among them.
 
     The two top-k steps keep what reaches the driver bounded by `per_class`.
@@ -89,10 +89,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     )
     ids: list[tuple[int, int]] = []
     for y in (0, 1):
-        ids += [(r.doc_id, y) for r in known.where(F.col("y") == y).orderBy("o", "doc_id").select("doc_id").limit(per_class).collect()]
+        ids += [(r.doc_id, y) for r in known.where(F.col("y") == y).orderBy("o", "doc_id").select("doc_id").limit(per_class[y]).collect()]
     if not ids:
         return []
-    # at most 2 * per_class rows of two numbers: small enough to broadcast
+    # at most sum(per_class) rows of two numbers: small enough to broadcast
     wanted = spark.createDataFrame(ids, "wanted_id long, y int")
     found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(wanted), F.col("doc_id") == F.col("wanted_id"))
     got: dict[int, tuple[str, int]] = {}

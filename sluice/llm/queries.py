@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, mixing, packing, quality_rules, simhash, topk
+from . import chat, html, mixing, packing, quality_mil, quality_rules, simhash, token_counts, topk, toxicity
 from .common import table, tokenizer_path
 
 
@@ -47,6 +47,23 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram tokens of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op8_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_mil.classify(docs, quality_mil.fit(docs, labels))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.classify(docs, toxicity.fit(docs, labels))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document, packed into sequences."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -141,7 +158,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_topk": op5_topk,
         "op6_quality_rules": op6_quality_rules,
+        "op7_token_counts": op7_token_counts,
+        "op8_quality_mil": op8_quality_mil,
         "op9_packing": op9_packing,
+        "op10_toxicity": op10_toxicity,
     }
 
 
