@@ -8,6 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
 def vectorised(returns: str) -> Callable:
@@ -58,7 +59,7 @@ def sum_slice(array: Column) -> Column:
     return F.aggregate(array, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def length_of(arrays: pd.Series) -> pd.Series:
     """A host function over slices."""
     return arrays.map(len, na_action="ignore").astype("Int64")

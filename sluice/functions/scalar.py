@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 
 def wide(c: Column) -> Column:
@@ -70,14 +71,14 @@ def then_some(cond: Column, value: Column) -> Column:
     return F.when(cond, value)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def float_bits(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The 64 bits of a double as a whole number; Spark has no such function."""
     for s in frames:
         yield pd.Series(s.to_numpy(np.float64).view(np.int64), index=s.index).where(s.notna())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def bits_float(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in frames:
         yield pd.Series(s.fillna(0).to_numpy(np.int64).view(np.float64), index=s.index).where(s.notna())
