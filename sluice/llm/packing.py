@@ -38,11 +38,13 @@ CLOSE = 2
 #: Tokens packed at a time; the last, still open window goes on with the next block.
 BLOCK = 1 << 20
 #: Shortest and longest item between two places of the dynamic programme.
-LEAST_ITEM, MOST_ITEM = 4, 256
+LEAST_ITEM, MOST_ITEM = 4, 64
 #: Penalties in padding tokens: a cut inside a document, and one inside a sentence.
-IN_DOCUMENT, IN_SENTENCE = 4, 32
+IN_DOCUMENT, IN_SENTENCE = 2, 12
 #: Words, and runs of letters, whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 500_000, 64
+#: Signs that may follow a word's letters, and how many runs of them are remembered.
+SIGNS, SIGN_RUNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", 5000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -51,9 +53,9 @@ class Encoder:
     """Ids of texts by a word-level BPE file whose pre-tokens never hold white space.
 
     A text's ids are those of its space-separated words in a row, so words are
-    encoded once and remembered. A new word in letters only, perhaps with a mark behind
-    it, is looked up by its lower-case letters; the letters not yet known are encoded
-    together, past the file's pattern, and told apart by the tokens that end a word.
+    encoded once and remembered. A new word of letters, perhaps with signs behind them, is
+    looked up by its lower-case letters and its signs; the letters not yet known are
+    encoded together, past the file's pattern, and told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str):
@@ -66,10 +68,11 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,!?;:"}
+        #: tokens that close a sentence
+        self.stops = np.zeros(len(self.ends_word), bool)
+        self.stops[[i for t, i in vocab.items() if t.endswith("</w>") and t[:-4].strip(".!?") == "" != t[:-4]]] = True
         self.ids: dict[str, bytes] = {}
-        #: twice the number of ids, plus one if the word ends a sentence
-        self.size: dict[str, int] = {}
+        self.signs: dict[str, bytes] = {"": b""}
         self.letters: dict[str, bytes] = {}
         #: the letters remembered before the last time they were too many
         self.earlier: dict[str, bytes] = {}
@@ -92,51 +95,53 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Remember the ids of words."""
-        split, odd, unknown = [], [], set()
+        split, odd, unknown = [], [], []
+        letters, earlier, signs = self.letters, self.earlier, self.signs
         for word in new:
-            stem = word.rstrip("\n")
-            mark = stem[-1:]
-            mark = mark if mark in self.marks else ""
-            stem = stem[:-1].lower() if mark else stem.lower()
-            # NFC leaves such letters alone, and lowering them does not depend on others
-            if stem.isalpha() and len(stem) <= LONGEST and (stem.isascii() or stem.isprintable() and max(stem) < "\u0250") and word.isprintable() | word.endswith("\n"):
-                split.append((word, stem, mark))
-                if stem not in self.letters:
-                    known = self.earlier.get(stem)
+            stem = word.rstrip(SIGNS)
+            sign = word[len(stem) :]
+            stem = stem.lower()
+            # NFC leaves such letters alone, and lowering one does not depend on others
+            if stem.isalpha() and len(word) <= LONGEST and (stem.isascii() or max(stem) < "\u0250"):
+                split.append((word, stem, sign))
+                if stem not in letters:
+                    known = earlier.get(stem)
                     if known is None:
-                        unknown.add(stem)
+                        letters[stem] = b""
+                        unknown.append(stem)
                     else:
-                        self.letters[stem] = known
+                        letters[stem] = known
+                if sign not in signs:
+                    if len(signs) > SIGN_RUNS:
+                        signs.clear()
+                        signs[""] = b""
+                        signs.update((g, self._encode([g])[0]) for g in {g for _, _, g in split if g})
+                    signs[sign] = self._encode([sign])[0]
             else:
                 odd.append(word)
-        for some in (list(unknown)[k : k + 4096] for k in range(0, len(unknown), 4096)):
-            self._letters(some)
-        for word, stem, mark in split:
-            self.ids[word] = self.letters[stem] + self.marks[mark] if mark else self.letters[stem]
+        for k in range(0, len(unknown), 4096):
+            self._letters(unknown[k : k + 4096])
+        for word, stem, sign in split:
+            self.ids[word] = letters[stem] + signs[sign] if sign else letters[stem]
         for k in range(0, len(odd), 4096):
             self.ids.update(zip(odd[k : k + 4096], self._encode(odd[k : k + 4096])))
-        for word in new:
-            self.size[word] = len(self.ids[word]) // 4 * 2 + (word[-1:] in (".", "!", "?", "\n"))
 
     def encode(self, text: str) -> tuple[bytes, np.ndarray]:
         """(ids as little-endian 32-bit numbers, ends of sentences in ids)."""
-        words = text.replace("\n", "\n ").split(" ")
-        new = set(words).difference(self.size)
+        words = text.replace("\n", " ").split(" ")
+        new = set(words).difference(self.ids)
         if new:
-            if len(self.size) + len(new) > REMEMBERED:
+            if len(self.ids) + len(new) > REMEMBERED:
                 self.ids.clear()
-                self.size.clear()
                 new = set(words)
             if len(self.letters) > REMEMBERED:
                 self.earlier, self.letters = self.letters, {}
             self._learn(list(new))
         out = b"".join(map(self.ids.__getitem__, words))
-        sizes = np.fromiter(map(self.size.__getitem__, words), np.int64, len(words))
-        ends = np.cumsum(sizes >> 1)[(sizes & 1).astype(bool)]
         for word in new:
             if len(word) > LONGEST:
-                del self.ids[word], self.size[word]
-        return out, ends
+                del self.ids[word]
+        return out, np.flatnonzero(self.stops[np.frombuffer(out, "<u4")]) + 1
 
 
 @lru_cache(1)
@@ -146,14 +151,22 @@ def encoder(path: str) -> Encoder:
 
 def places(ends: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Where a document of `total` tokens may be cut, and each cut's penalty; the last is its end."""
-    ends = ends[(ends > 0) & (ends < total)]
-    if len(ends):  # of the sentence ends in each stretch of LEAST_ITEM tokens the last
-        stretch = ends // LEAST_ITEM
-        ends = ends[np.r_[stretch[1:] != stretch[:-1], True]]
-    ends = np.r_[ends, total]
+    every = np.empty(len(ends) + 1, np.int64)
+    every[:-1], every[-1] = ends, total
+    ends = every
     gaps = np.diff(ends, prepend=0)
+    if len(ends) > 1 and gaps.min() < LEAST_ITEM:  # of the sentence ends in each stretch of LEAST_ITEM tokens the last
+        stretch = ends // LEAST_ITEM
+        stretch[-1] = -1
+        last = np.ones(len(ends), bool)
+        last[:-1] = stretch[1:] != stretch[:-1]
+        last[-2] &= ends[-2] < total
+        ends = ends[last]
+        gaps = np.diff(ends, prepend=0)
     if gaps.max() <= MOST_ITEM:
-        return ends, np.r_[np.full(len(ends) - 1, IN_DOCUMENT), 0]
+        cost = np.full(len(ends), IN_DOCUMENT)
+        cost[-1] = 0
+        return ends, cost
     more = [np.arange(e - g + MOST_ITEM, e, MOST_ITEM) for e, g in zip(ends, gaps) if g > MOST_ITEM]
     inside = np.concatenate(more)
     every = np.r_[ends, inside]
