@@ -17,12 +17,13 @@ alike; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, held_out, labelled_sample, small_batches
@@ -33,7 +34,7 @@ GRAMS = (3, 7)
 #: Words of a passage, and from one passage's start to the next.
 PASSAGE, STRIDE = 3, 1
 #: Labelled documents of class 0 and 1 that the model is fitted on, at most.
-PER_CLASS = (1200, 600)
+PER_CLASS = (1600, 800)
 #: Labelled documents that a bucket must be in to have a vector.
 LEAST_DOCS = 4
 REMEMBERED = 300_000
@@ -63,31 +64,6 @@ def passages(n: int) -> np.ndarray:
     return np.r_[starts, n - PASSAGE]
 
 
-class Sums:
-    """Sums of rows by group, forward and backward, over fixed index lists."""
-
-    def __init__(self, owner: np.ndarray, item: np.ndarray, owners: int, items: int):
-        self.item, self.owners, self.items = item, owners, items
-        self.count = np.maximum(1, np.bincount(owner, minlength=owners)).astype(np.float32)[:, None]
-        self.forward = (owner, item, owners)
-        by = np.argsort(item, kind="stable")
-        self.backward = (item[by], owner[by], items)
-
-    @staticmethod
-    def _sum(into: np.ndarray, rows: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((n, x.shape[1]), np.float32)
-        if len(into):
-            first = np.flatnonzero(np.r_[True, into[1:] != into[:-1]])
-            out[into[first]] = np.add.reduceat(x[rows], first, axis=0)
-        return out
-
-    def mean(self, x: np.ndarray) -> np.ndarray:
-        return self._sum(*self.forward, x) / self.count
-
-    def back(self, grad: np.ndarray) -> np.ndarray:
-        return self._sum(*self.backward, grad / self.count)
-
-
 class Adam:
     def __init__(self, shapes: Sequence[np.ndarray], rate: float):
         self.m = [np.zeros_like(s) for s in shapes]
@@ -136,70 +112,103 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(top, -60, 60))))
 
 
-def train(sample: list[tuple[str, int]], epochs: int = 24, rate: float = 0.1, decay: float = 1e-3, seed: int = 5) -> Model:
+class Bags:
+    """The buckets of numbered words, as one run of numbers and where each word's begin."""
+
+    def __init__(self, words: Iterable[str]):
+        every, sizes = array("i"), array("i")
+        for w in words:
+            found = grams(w)
+            every.extend(found)
+            sizes.append(len(found))
+        self.size = np.array(sizes, np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.bucket = np.array(every, np.int32)
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in `words`, bucket) of each bucket of these words."""
+        n = self.size[words]
+        owner = np.repeat(np.arange(len(words)), n)
+        return owner, self.bucket[np.arange(len(owner)) + np.repeat(self.first[words] - np.cumsum(n) + n, n)]
+
+    def means(self, value: np.ndarray) -> np.ndarray:
+        """Mean value over the buckets of each word."""
+        out = np.empty(len(self.size), np.float32)
+        for k in range(0, len(out), 1 << 15):
+            size, first = self.size[k : k + (1 << 15)], self.first[k : k + (1 << 15)]
+            part = value[self.bucket[first[0] : first[-1] + size[-1]]]
+            out[k : k + (1 << 15)] = np.add.reduceat(part, first - first[0]) / size
+        return out
+
+
+def train(sample: list[tuple[str, int]], epochs: int = 80, rate: float = 0.1, decay: float = 1e-3, seed: int = 5) -> Model:
     """Embeddings and softmax from (text, label) pairs.
 
     The first coordinate of a bucket starts at the log odds of its documents between
     the classes, the others at random; buckets in fewer than LEAST_DOCS documents stay 0.
+    Which passage decides is found from sums per word; vectors are made for the
+    words of the deciding passages alone.
     """
     labels = np.array([y for _, y in sample], np.float32)
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), -60.0)
     number: dict[str, int] = {}
-    texts = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t, _ in sample]
-    bags = [np.array(grams(w)) for w in number]
+    texts = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t, _ in sample]
+    if not number:
+        return Model(np.zeros(BUCKETS), -60.0)
+    bags = Bags(number)
     inside = np.zeros((2, BUCKETS))
     for t, y in zip(texts, labels):
         if len(t):
-            inside[int(y), np.unique(np.concatenate([bags[w] for w in np.unique(t)]))] += 1
-    used = np.flatnonzero(inside.sum(0) >= LEAST_DOCS)
-    place = np.full(BUCKETS, -1)
-    place[used] = np.arange(len(used))
+            inside[int(y), np.unique(bags.of(np.unique(t))[1])] += 1
+    used = inside.sum(0) >= LEAST_DOCS
     n = np.bincount(labels.astype(int), minlength=2)
-    rates = (inside[:, used] + 2) / (n[:, None] + 4)
-    odds = np.log(rates[1] / rates[0]).astype(np.float32)
+    rates = (inside + 2) / (n[:, None] + 4)
     rng = np.random.default_rng(seed)
-    e = (rng.random((len(used), DIM), np.float32) - 0.5) / DIM
-    e[:, 0] = odds
+    e = (rng.random((BUCKETS, DIM), np.float32) - 0.5) / DIM
+    e[:, 0] = np.log(rates[1] / rates[0])
+    e[~used] = 0
     w = np.zeros((DIM, 2), np.float32)
     w[0] = -1, 1
     w[1:] = (rng.random((DIM - 1, 2), np.float32) - 0.5) / DIM
     b = np.zeros(2, np.float32)
     adam = Adam((e, w, b), rate)
-    sizes = np.array([len(g) for g in bags])
-    owner, local = np.repeat(np.arange(len(bags)), sizes), place[np.concatenate(bags)]
-    bag = Sums(owner[local >= 0], local[local >= 0], len(bags), len(used))
-    bag.count = sizes.astype(np.float32)[:, None]
-    parts, of = [], []
-    for k, t in enumerate(texts):
-        for s in passages(len(t)):
-            parts.append(t[s : s + PASSAGE])
-            of.append(k)
-    of = np.array(of)
+    # passages as [start, stop) in the run of all texts, an empty text as the empty one
+    offset = np.cumsum([0, *[len(t) for t in texts]])
+    tokens = np.concatenate(texts)
+    start = [passages(len(t)) + o for t, o in zip(texts, offset)]
+    of = np.repeat(np.arange(len(texts)), [len(x) for x in start])
     first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-    sums = Sums(np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts), len(parts), len(bags))
+    start = np.concatenate(start)
+    stop = np.minimum(start + PASSAGE, offset[of + 1])
+    length = np.maximum(1, stop - start)
     classes = np.stack([1 - labels, labels], 1)
     weight = np.where(labels == 1, 0.4 / labels.mean(), 0.6 / (1 - labels.mean())).astype(np.float32)[:, None] / len(labels)
     for epoch in range(epochs):
-        x = sums.mean(bag.mean(e))
-        logits = x @ w + b
-        lead = logits[:, 1] - logits[:, 0]
+        each = bags.means(e @ (w[:, 1] - w[:, 0]))
+        total = np.r_[0.0, np.cumsum(each[tokens], dtype=np.float64)]
+        lead = (total[stop] - total[start]) / length
         best = np.maximum.reduceat(lead, first)
         if not epoch:  # begin between the classes' deciding passages
             b[1] = -(np.median(best[labels == 1]) + np.median(best[labels == 0])) / 2
-            logits[:, 1] += b[1]
-            best, lead = best + b[1], lead + b[1]
         rows = np.flatnonzero(lead == best[of])
         rows = rows[np.r_[True, of[rows][1:] != of[rows][:-1]]]
-        p = np.exp(logits[rows] - logits[rows].max(1, keepdims=True))
+        many = stop[rows] - start[rows]
+        doc = np.repeat(np.arange(len(rows)), many)
+        words = tokens[np.arange(len(doc)) + np.repeat(start[rows] - np.cumsum(many) + many, many)]
+        owner, bucket = bags.of(words)
+        share = (1 / (bags.size[words][owner] * length[rows][doc][owner])).astype(np.float32)
+        x = np.stack([np.bincount(doc[owner], e[bucket, k] * share, len(rows)) for k in range(DIM)], 1).astype(np.float32)
+        logits = x @ w + b
+        p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         d = (p - classes) * weight
-        gx = np.zeros_like(x)
-        gx[rows] = d @ w.T
-        adam.step((e, w, b), (bag.back(sums.back(gx)) + decay * e / len(used), x[rows].T @ d, d.sum(0)))
-    bucket = np.zeros(BUCKETS, np.float32)
-    bucket[used] = e @ (w[:, 1] - w[:, 0])
-    return Model(bucket, float(b[1] - b[0]))
+        gx = (d @ w.T)[doc[owner]] * share[:, None]
+        ge = np.stack([np.bincount(bucket, gx[:, k], BUCKETS) for k in range(DIM)], 1).astype(np.float32)
+        ge += decay * e / used.sum()
+        ge[~used] = 0
+        adam.step((e, w, b), (ge, x.T @ d, d.sum(0)))
+    return Model((e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(b[1] - b[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = PER_CLASS) -> Model:
