@@ -72,11 +72,12 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], seed: int = 17) -> list[tuple[str, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], seed: int = 17, max_chars: int = 50_000) -> list[tuple[str, int]]:
     """At most `per_class[y]` texts of each label value y, in the order of a seeded hash
     of doc_id; rows with crc32(doc_id) mod 5 = 0 are never among them.
 
-    The two top-k steps keep what reaches the driver bounded by `per_class`.
+    The two top-k steps and `max_chars` bound what reaches the driver: a chosen text
+    is taken whole, or, if longer than `max_chars`, not at all.
     Documents with several labels count once with the largest. Null labels and
     null texts teach nothing and are left out.
     """
@@ -94,7 +95,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: t
         return []
     # at most sum(per_class) rows of two numbers: small enough to broadcast
     wanted = spark.createDataFrame(ids, "wanted_id long, y int")
-    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(wanted), F.col("doc_id") == F.col("wanted_id"))
+    found = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(wanted), F.col("doc_id") == F.col("wanted_id"))
     got: dict[int, tuple[str, int]] = {}
     for r in found.select("doc_id", "text", "y").toLocalIterator():
         if r.doc_id not in got or r.text < got[r.doc_id][0]:

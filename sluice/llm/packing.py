@@ -4,7 +4,7 @@ Each partition's documents, in their order, are one stream of tokens. The stream
 cut at ends of documents or sentences (and inside a sentence only where it is longer than
 MOST_ITEM). Window cuts come from dynamic programming over these places:
     f[j] = min over i, S[j] - S[i] <= size, of f[i] + (size - (S[j] - S[i])) + penalty[j]
-The minimum of f[i] + S[i] over the sliding range is the head of a monotone queue, so
+(the last window of a stream is not padded). The minimum of f[i] + S[i] over the sliding range is the head of a monotone queue, so
 the time is linear. What is left at the end of a partition is cut into sequences whose
 lengths are powers of two, which need no padding.
 
@@ -176,7 +176,8 @@ def places(ends: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(at: list[int], cost: list[int], size: int) -> list[int]:
-    """The cuts of least padding plus penalties; `at` are the places after 0, the last is the end."""
+    """The cuts of least padding plus penalties; `at` are the places after 0, the last
+    is the end. The last window is open, or ends in powers of two: it has no padding."""
     g = [0] * (len(at) + 1)  # f + S of each place
     back = [0] * (len(at) + 1)
     where = [0, *at]
@@ -192,7 +193,12 @@ def windows(at: list[int], cost: list[int], size: int) -> list[int]:
         while queue and g[queue[-1]] >= v:
             queue.pop()
         queue.append(j)
-    cuts, j = [], len(at)
+    j = len(at)
+    k = j - 1
+    while k > 0 and where[k - 1] >= where[j] - size:
+        k -= 1
+    back[j] = min(range(k, j), key=lambda i: g[i] - where[i])
+    cuts = []
     while j:
         cuts.append(where[j])
         j = back[j]
