@@ -353,6 +353,68 @@ frame("program_triangle", "SELECT CAST(23 AS BIGINT) AS best")(
 )
 
 
+sql("program_prime_factor", "WITH RECURSIVE f(n, d) AS (SELECT CAST(13195 AS BIGINT), CAST(2 AS BIGINT) UNION ALL SELECT CASE WHEN n % d = 0 THEN n DIV d ELSE n END, CASE WHEN n % d = 0 THEN d ELSE d + 1 END FROM f WHERE n > 1) SELECT max(d) AS factor FROM f", "WITH RECURSIVE f(n, d) AS (SELECT CAST(13195 AS BIGINT), CAST(2 AS BIGINT) UNION ALL SELECT CASE WHEN n % d = 0 THEN n // d ELSE n END, CASE WHEN n % d = 0 THEN d ELSE d + 1 END FROM f WHERE n > 1) SELECT max(d) AS factor FROM f")
+frame("program_smallest_multiple", "SELECT min(i) AS n FROM range(2520, 300000, 2520) t(i) WHERE i % 11 = 0 AND i % 13 = 0 OR i = 27720")(
+    lambda spark: spark.range(2520, 300000, 2520).where("id % 11 = 0 AND id % 13 = 0 OR id = 27720").agg(F.min("id").alias("n"))
+)
+frame("program_divisible_triangle", "SELECT min(t) AS t FROM (SELECT i * (i + 1) // 2 AS t FROM range(1, 300) r(i)) WHERE (SELECT count(*) FROM range(1, 45000) u(d) WHERE d <= t AND t % d = 0) > 50")(
+    lambda spark: spark.range(1, 300).selectExpr("id * (id + 1) div 2 AS t").where("aggregate(filter(sequence(1, cast(floor(sqrt(t)) as int)), d -> t % d = 0), 0, (a, d) -> a + CASE WHEN d * d = t THEN 1 ELSE 2 END) > 50").agg(F.min("t").alias("t"))
+)
+frame("program_lattice", "SELECT CAST(184756 AS BIGINT) AS paths")(
+    lambda spark: spark.range(1).select(F.aggregate(F.sequence(F.lit(1), F.lit(10)), F.lit(1).cast("bigint"), lambda a, k: F.floor(a * (k + 10) / k)).alias("paths"))
+)
+sql("program_spiral", "SELECT 1 + CAST(sum(4 * (2 * id + 1) * (2 * id + 1) - 12 * id) AS BIGINT) AS s FROM range(1, 501)", "SELECT 1 + CAST(sum(4 * (2 * i + 1) * (2 * i + 1) - 12 * i) AS BIGINT) AS s FROM range(1, 501) t(i)")
+frame("program_digit_powers", "SELECT CAST(sum(i) AS BIGINT) AS s FROM range(10, 200000) t(i) WHERE i = list_sum(list_transform(string_split(CAST(i AS VARCHAR), ''), lambda d: CAST(d AS INTEGER) ** 5))")(
+    lambda spark: spark.range(10, 200000).where(F.col("id") == F.aggregate(F.split(F.col("id").cast("string"), ""), F.lit(0).cast("bigint"), lambda a, d: a + F.pow(d.cast("bigint"), F.lit(5)).cast("bigint"))).agg(F.sum("id").alias("s"))
+)
+frame("program_nth_prime", "SELECT n AS prime FROM (SELECT n, row_number() OVER (ORDER BY n) AS k FROM range(2, 1000) t(n) WHERE NOT EXISTS (SELECT 1 FROM range(2, 32) u(d) WHERE d * d <= n AND n % d = 0)) WHERE k = 101")(
+    lambda spark: Seq.range(spark, 2, 1000).filter(lambda n: ~F.exists(F.sequence(F.lit(2), F.lit(31)), lambda d: (d * d <= n) & (n % d == 0))).enumerate().where("index = 100").select(F.col("item").alias("prime"))
+)
+frame("program_totient", "WITH RECURSIVE g(n, a, b) AS (SELECT n, n, k FROM range(1, 60) t(n), range(1, 60) u(k) WHERE k <= n UNION ALL SELECT n, b, a % b FROM g WHERE b > 0) SELECT n, count(*) AS phi FROM g WHERE b = 0 AND a = 1 GROUP BY n")(
+    lambda spark: spark.range(1, 60).select(F.col("id").alias("n"), F.size(F.filter(F.sequence(F.lit(1).cast("bigint"), F.col("id")), lambda k: _gcd(F.col("id"), k) == 1)).cast("bigint").alias("phi"))
+)
+
+
+def _gcd(a, b):
+    """Twelve steps of Euclid's algorithm, enough for numbers below 200, as one expression."""
+    pair = F.struct(a.alias("a"), b.alias("b"))
+    step = lambda p, _: F.struct(F.when(p["b"] == 0, p["a"]).otherwise(p["b"]).alias("a"), F.when(p["b"] == 0, 0).otherwise(F.pmod(p["a"], F.when(p["b"] != 0, p["b"]))).alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), pair, step, lambda p: p["a"])
+
+
+# --- containers -----------------------------------------------------------------------------
+
+
+@frame("vector_ops", "SELECT o_custkey AS k, count(*) AS n, arg_min(o_orderkey, o_orderkey) AS head, max(o_orderkey) AS tail, CAST(count(*) + 1 AS BIGINT) AS pushed FROM orders GROUP BY o_custkey", "orders")
+def _(spark, orders):
+    v = orders.groupBy(F.col("o_custkey").alias("k")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("v"))
+    return v.select("k", F.size("v").cast("bigint").alias("n"), F.get("v", 0).alias("head"), F.element_at("v", -1).alias("tail"), F.size(F.array_append("v", F.lit(-1).cast("bigint"))).cast("bigint").alias("pushed"))
+
+
+@frame("record_ops", "SELECT c_custkey, c_custkey * 2 AS twice, c_mktsegment AS segment FROM customer", "customer")
+def _(spark, customer):
+    r = customer.select("c_custkey", F.struct("c_custkey", F.col("c_mktsegment").alias("segment")).alias("r"))
+    r = r.withColumn("r", F.col("r").withField("twice", F.col("r.c_custkey") * 2).dropFields("c_custkey"))
+    return r.select("c_custkey", "r.twice", "r.segment")
+
+
+@frame("null_bits", "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN NULL ELSE user_id END AS unset, coalesce(nullif(user_id, 5), 0) AS reset FROM events", "events")
+def _(spark, events):
+    return events.select("event_id", F.when(F.col("user_id") % 2 == 0, None).otherwise(F.col("user_id")).alias("unset"), F.coalesce(F.nullif("user_id", F.lit(5).cast("bigint")), F.lit(0).cast("bigint")).alias("reset"))
+
+
+@frame("option_ops", "SELECT event_id, user_id > 10 AS some, CASE WHEN user_id > 10 THEN user_id ELSE -1 END AS unwrapped, CASE WHEN user_id > 10 THEN user_id + 1 ELSE 0 END AS matched FROM events", "events")
+def _(spark, events):
+    o = events.withColumn("o", scalar.then_some(F.col("user_id") > 10, F.col("user_id")))
+    return o.select("event_id", F.col("o").isNotNull().alias("some"), F.coalesce("o", F.lit(-1).cast("bigint")).alias("unwrapped"), scalar.select(F.col("o").isNotNull(), F.col("o") + 1, F.lit(0).cast("bigint")).alias("matched"))
+
+
+@frame("stream_session", "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, count(*) AS n FROM s GROUP BY user_id, k", "events")
+def _(spark, events):
+    w = F.session_window("t", "6 hours")
+    return over_stream(spark, events, lambda s: s.withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "4000 days").groupBy("user_id", w.alias("w")).agg(F.count(F.lit(1)).alias("n")), "complete").select("user_id", "n")
+
+
 def _amicable(spark: SparkSession) -> DataFrame:
     divisors = F.filter(F.sequence(F.lit(1), F.lit(1000)), lambda k: (k < F.col("n")) & (F.col("n") % k == 0))
     d = spark.range(2, 2000).toDF("n").withColumn("s", F.aggregate(divisors, F.lit(0).cast("bigint"), lambda a, x: a + x))
