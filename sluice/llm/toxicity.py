@@ -16,8 +16,6 @@ alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
-from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -37,7 +35,11 @@ PASSAGE, STRIDE = 3, 1
 PER_CLASS = (1600, 800)
 #: Labelled documents that a bucket must be in to have a vector.
 LEAST_DOCS = 4
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: Characters of a word that are hashed, and of the texts that are scored together.
+LONGEST, TOGETHER = 40, 2_000_000
+PRIME, MIX = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15)
+POWERS = np.cumprod(np.full(LONGEST + 2, np.uint64(0x100000001B3), np.uint64))
 STRIP = "\"'`.,;:!?()[]{}<>#*$%&|~^_=+-/\\@"
 
 
@@ -45,15 +47,33 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a word: itself and its n-grams, with marks at both ends. A word of
-    signs alone has itself."""
-    core = word.strip(STRIP) or word
-    core = f"<{core[:40]}>"
-    low, high = GRAMS
-    parts = {core, *(core[i : i + n] for n in range(low, high + 1) for i in range(len(core) - n + 1))}
-    crc = zlib.crc32
-    return [crc(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in sorted(parts)]
+def core_of(word: str) -> str:
+    """A word without the signs around it."""
+    return word.strip(STRIP) or word
+
+
+def grams(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(position in `words`, bucket) of each word itself and of its n-grams, with marks at
+    both ends, by polynomial hashes over code points. A word of signs alone has itself."""
+    marked = [f"<{core_of(w)[:LONGEST]}>" for w in words]
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    stop = np.cumsum(size)
+    owner = np.repeat(np.arange(len(marked)), size)
+    room = np.repeat(stop, size) - np.arange(len(code))
+    place = np.arange(len(code)) - np.repeat(stop - size, size)
+    with np.errstate(over="ignore"):
+        whole = np.add.reduceat((code + np.uint64(1)) * POWERS[place], stop - size)
+        owners, hashes = [np.arange(len(marked))], [whole]
+        h = code.copy()
+        for n in range(2, GRAMS[1] + 1):
+            h[: len(h) - n + 1] = h[: len(h) - n + 1] * PRIME + code[n - 1 :]
+            if n >= GRAMS[0]:
+                fits = room >= n
+                owners.append(owner[fits])
+                hashes.append(h[fits] * np.uint64(n + 1))
+        every = np.concatenate(hashes) * MIX
+    return np.concatenate(owners), (every >> np.uint64(48)).astype(np.int32) % BUCKETS
 
 
 def passages(n: int) -> np.ndarray:
@@ -86,44 +106,71 @@ class Model:
     bias: float
 
     def __post_init__(self):
+        #: shares of words as they stand, and of words without signs around them
         self.known: dict[str, float] = {}
-
-    def word(self, word: str) -> float:
-        return float(self.bucket[grams(word)].mean())
-
-    def score(self, text: str | None) -> float:
-        """Probability of the most toxic passage."""
-        words = words_of(text)
-        if not words:
-            return float(1 / (1 + np.exp(-self.bias)))
+        self.cores: dict[str, float] = {}
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Remember the shares of words."""
+        known, cores = self.known, self.cores
+        if len(cores) > REMEMBERED:
+            cores.clear()
+        pairs = [(w, core_of(w)) for w in words]
+        new = list({c for _, c in pairs}.difference(cores))
+        for k in range(0, len(new), 1 << 15):
+            some = new[k : k + (1 << 15)]
+            owner, bucket = grams(some)
+            total = np.bincount(owner, self.bucket[bucket], len(some))
+            cores.update(zip(some, (total / np.bincount(owner, minlength=len(some))).tolist()))
+        for w, c in pairs:
+            known[w] = cores[c]
+
+    def scores(self, texts: Iterable[str | None]) -> list[float]:
+        """Probability of the most toxic passage of each text."""
+        out: list[float] = []
+        held: list[list[str]] = []
+        chars = 0
+        for t in texts:
+            held.append(words_of(t))
+            chars += len(t or "")
+            if chars > TOGETHER:
+                out += self._scores(held)
+                held, chars = [], 0
+        return out + self._scores(held)
+
+    def _scores(self, texts: list[list[str]]) -> list[float]:
         known = self.known
-        new = set(words).difference(known)
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = set(words)
-            for w in new:
-                known[w] = self.word(w)
-        each = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-        total = np.r_[0.0, np.cumsum(each)]
-        first = passages(len(words))
-        last = np.minimum(first + PASSAGE, len(words))
-        top = ((total[last] - total[first]) / (last - first)).max() + self.bias
-        return float(1 / (1 + np.exp(-np.clip(top, -60, 60))))
+        if len(known) > REMEMBERED:
+            known.clear()
+        new: set[str] = set()
+        for words in texts:
+            new.update(set(words).difference(known))
+        self.learn(new)
+        out = []
+        for words in texts:
+            if words:
+                each = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+                total = np.r_[0.0, np.cumsum(each)]
+                first = passages(len(words))
+                last = np.minimum(first + PASSAGE, len(words))
+                top = ((total[last] - total[first]) / (last - first)).max() + self.bias
+            else:
+                top = self.bias
+            out.append(float(1 / (1 + np.exp(-np.clip(top, -60, 60)))))
+        return out
 
 
 class Bags:
     """The buckets of numbered words, as one run of numbers and where each word's begin."""
 
-    def __init__(self, words: Iterable[str]):
-        every, sizes = array("i"), array("i")
-        for w in words:
-            found = grams(w)
-            every.extend(found)
-            sizes.append(len(found))
-        self.size = np.array(sizes, np.int64)
+    def __init__(self, words: list[str]):
+        sizes, buckets = [], []
+        for k in range(0, len(words), 1 << 14):
+            owner, bucket = grams(words[k : k + (1 << 14)])
+            sizes.append(np.bincount(owner))
+            buckets.append(bucket[np.argsort(owner, kind="stable")])
+        self.size, self.bucket = np.concatenate(sizes), np.concatenate(buckets)
         self.first = np.cumsum(self.size) - self.size
-        self.bucket = np.array(every, np.int32)
 
     def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in `words`, bucket) of each bucket of these words."""
@@ -156,7 +203,7 @@ def train(sample: list[tuple[str, int]], epochs: int = 80, rate: float = 0.1, de
     texts = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t, _ in sample]
     if not number:
         return Model(np.zeros(BUCKETS), -60.0)
-    bags = Bags(number)
+    bags = Bags(list(number))
     inside = np.zeros((2, BUCKETS))
     for t, y in zip(texts, labels):
         if len(t):
@@ -224,7 +271,7 @@ def scorer(docs: DataFrame, model: Model):
     def score(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         local = Model(*shared.value)
         for texts in frames:
-            yield pd.Series([local.score(t) for t in texts], dtype="float64")
+            yield pd.Series(local.scores(texts), dtype="float64")
 
     return score
 
