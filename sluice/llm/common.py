@@ -24,26 +24,42 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders written by cut() and not deleted yet.
+_CUTS: set[str] = set()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it again.
 
     The result has no lineage to recompute, survives lost executors, and its
-    statistics are known to the planner.
+    statistics are known to the planner. The files stay for lazy readers until
+    `release()`, or `drop_cut()` where an operator knows that it is done with them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sluice-{name}-{uuid.uuid4().hex}"
+    _CUTS.add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a cut() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/sluice-" in file:
-            path = jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for path in [p for p in _CUTS if p.rsplit("/", 1)[1] == folder.rsplit("/", 1)[1]]:
+            _delete(df.sparkSession, path)
+            _CUTS.discard(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all cuts of this process: call it when all results were written."""
+    for path in list(_CUTS):
+        _delete(spark, path)
+        _CUTS.discard(path)
 
 
 def small_batches(spark: SparkSession) -> None:

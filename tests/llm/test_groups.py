@@ -255,3 +255,18 @@ def test_top_k_large_numbers(spark):
     df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
     rows = topk.top_k(df, df.where("vec_id = 0"), 2).collect()
     assert [r.score for r in rows] == [2**63 - 1] * 2 and [r.vec_id for r in rows] == [1, 2]
+
+
+def test_cuts_are_released(spark):
+    import os
+
+    from sluice.llm import common
+
+    df = common.cut(spark.range(5), "test")
+    other = common.cut(spark.range(3), "other")
+    folder = next(p for p in common._CUTS if "/sluice-test-" in p)
+    assert df.count() == 5 and os.path.isdir(folder.removeprefix("file:"))
+    common.drop_cut(df)
+    assert not os.path.isdir(folder.removeprefix("file:")) and other.count() == 3
+    common.release(spark)
+    assert not common._CUTS
