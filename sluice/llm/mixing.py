@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, free_name
+from .common import WORD, cut, free_name
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -83,6 +83,7 @@ def with_rates(docs: DataFrame, source: str, size: str, rate: str, **targets) ->
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **targets) -> DataFrame:
     """One row per document: its id, size, source's size and target, copies and words taken."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
+    rows = cut(rows, "sizes")  # the texts are read once; sums and decisions read this
     rated = with_rates(rows, "source", "size", "rate", **targets).withColumn("copies", copies_of(F.col("doc_id"), F.col("rate"), seed).cast("bigint"))
     return rated.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
