@@ -24,7 +24,9 @@ from .common import WORD, cut, free_name
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-SEED = "mix-1"
+SEED = "mix"
+#: Draws per source, of which the one nearest to its target is taken.
+TRIALS = 16
 
 
 def size_of(text: Column) -> Column:
@@ -63,46 +65,64 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return per.select("source", "source_size", target.alias("target"))
 
 
-def copies_of(key: Column, rate: Column, seed: str = SEED) -> Column:
-    """floor(rate), and one more where the seeded draw of the document is below the rest."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 8)
-    draw = F.conv(digits, 16, 10).cast("bigint") / F.lit(4294967296.0)
-    return F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
+def draw(key: Column, trial: Column | int, seed: str = SEED) -> Column:
+    """A number in [0, 1) from a document's id; trials 0 to TRIALS - 1 are independent.
+    One digest gives four of them."""
+    trial = F.lit(trial) if isinstance(trial, int) else trial
+    name = F.concat(F.lit(f"{seed}-"), F.floor(trial / 4).cast("string"), F.lit(":"), F.coalesce(key.cast("string"), F.lit("null")))
+    digits = F.substring(F.md5(name), trial % 4 * 8 + 1, F.lit(8))
+    return F.conv(digits, 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def with_rates(docs: DataFrame, source: str, size: str, rate: str, **targets) -> DataFrame:
-    """`docs` and its source's row joined; a source with half of all rows is split by
-    the engine's skew join, as its other side has one row per source."""
-    per = source_targets(docs.select(F.col(source).alias("source"), F.col(size).alias("size")), **targets)
-    per = per.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_mix_key"), "source_size", "target")
-    key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
-    out = docs.withColumn("_mix_of", key).join(per, F.col("_mix_of") == F.col("_mix_key"))
-    return out.withColumn(rate, F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+def copies_of(key: Column, rate: Column, trial: Column | int, seed: str = SEED) -> Column:
+    """floor(rate), and one more where the document's draw is below the rest."""
+    return F.floor(rate) + F.when(draw(key, trial, seed) < rate - F.floor(rate), 1).otherwise(0)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **targets) -> DataFrame:
-    """One row per document: its id, size, source's size and target, copies and words taken."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
-    rows = cut(rows, "sizes")  # the texts are read once; sums and decisions read this
-    rated = with_rates(rows, "source", "size", "rate", **targets).withColumn("copies", copies_of(F.col("doc_id"), F.col("rate"), seed).cast("bigint"))
-    return rated.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+def source_key(source: Column) -> Column:
+    """Sources as keys that nulls have too."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
-def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **targets) -> DataFrame:
-    """The mix itself: each row of `docs` as often as it is taken, all columns kept.
+def source_rates(rows: DataFrame, seed: str = SEED, **targets) -> DataFrame:
+    """(key, source_size, target, rate, trial) per source of `rows` (doc_id, source, size).
 
-    The rates per source are joined in place of the texts' own key, so that a
-    narrow table and not the texts decides; the texts pass the join once.
+    Of TRIALS draws the source takes the one whose words come nearest to its target:
+    every document still has its Bernoulli copy of a hash-seeded draw, and the total of a
+    source with few or very unequal documents strays less. One pass of sums.
     """
-    src, size, count = (free_name(docs, n) for n in ("mix_src", "mix_size", "mix_copies"))
-    sizes = docs.select(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
-    per = source_targets(sizes, **targets)
-    per = per.select(
-        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias(src),
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(size),
-    )
-    key = F.coalesce(F.concat(F.lit("s"), docs[source_col]), F.lit("n"))
-    taken = docs.join(per, key == per[src]).withColumn(count, copies_of(docs[id_col], F.col(size), seed).cast("int"))
-    kept = taken.where(F.col(count) > 0)
-    again = free_name(docs, "mix_again")
-    return kept.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(count)))).select(*[docs[c] for c in docs.columns])
+    per = source_targets(rows.select("source", "size"), **targets)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    per = cut(per.select(source_key(F.col("source")).alias("key"), "source_size", "target", rate.alias("rate")), "targets")
+    rated = rows.select("doc_id", "size", source_key(F.col("source")).alias("of")).join(per, F.col("of") == F.col("key"))
+    sums = [F.sum(F.col("size") * copies_of(F.col("doc_id"), F.col("rate"), k, seed)).alias(f"t{k}") for k in range(TRIALS)]
+    tried = rated.groupBy("of").agg(F.first("target").alias("goal"), *sums)
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("goal")).alias("off"), F.lit(k).alias("k")) for k in range(TRIALS)]))["k"]
+    return cut(per.join(tried.select("of", nearest.alias("trial")), F.col("of") == F.col("key")).drop("of"), "rates")
+
+
+def sizes_of(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, size), written once: the sums and the decisions read this and not the texts."""
+    return cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")), "sizes")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **targets) -> DataFrame:
+    """One row per document: its id, size, source's size and target, copies and words
+    taken. A source with half of all rows is split by the engine's skew join, as its
+    other side has one row per source."""
+    rows = sizes_of(docs, id_col, text_col, source_col)
+    rates = source_rates(rows, seed, **targets)
+    out = rows.withColumn("of", source_key(F.col("source"))).join(rates, F.col("of") == F.col("key"))
+    out = out.withColumn("copies", copies_of(F.col("doc_id"), F.col("rate"), F.col("trial"), seed).cast("bigint"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **targets) -> DataFrame:
+    """The mix itself: each row of `docs` as often as it is taken, all columns kept."""
+    rates = source_rates(sizes_of(docs, id_col, text_col, source_col), seed, **targets)
+    of, rate, trial, count, again = (free_name(docs, f"mix_{n}") for n in ("of", "rate", "trial", "count", "again"))
+    rates = rates.select(F.col("key").alias(of), F.col("rate").alias(rate), F.col("trial").alias(trial))
+    taken = docs.join(rates, source_key(docs[source_col]) == rates[of])
+    taken = taken.withColumn(count, copies_of(docs[id_col], F.col(rate), F.col(trial), seed).cast("int"))
+    out = taken.where(F.col(count) > 0).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(count))))
+    return out.select(*[docs[c] for c in docs.columns])

@@ -140,13 +140,16 @@ t AS (
                    / sum(CASE WHEN filled THEN 0.0::DOUBLE ELSE weight END) OVER () END AS target
   FROM f),
 r AS (
-  SELECT doc_id, size, source_size, target,
-         CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
-         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       ((floor(rate)::BIGINT + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
-FROM r
+  SELECT doc_id, d.source, size, source_size, target,
+         CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT *, floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5('mix-' || k // 4 || ':' || coalesce(doc_id::VARCHAR, 'null')), k % 4 * 8 + 1, 8))::BIGINT / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS copies
+  FROM r, range(16) x(k)),
+o AS (SELECT source, k, abs(sum(size * copies)::DOUBLE - any_value(target)) AS off FROM c GROUP BY source, k),
+b AS (SELECT source, k FROM o QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, k) = 1)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken
+FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.k = b.k
 """
 
 
