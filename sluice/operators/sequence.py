@@ -84,7 +84,11 @@ class Seq:
         return replace(self, df=out.select(self.ord, self.item))
 
     def scan(self, kind: str) -> Seq:
-        """Running "sum", "min", "max" or "count" up to and with each item.
+        """Running "sum", "min", "max" or "count" up to and with each item."""
+        return replace(self, df=self._running(self._x, kind).select(self.ord, F.col("_value").alias(self.item)))
+
+    def _running(self, x: Column, kind: str) -> DataFrame:
+        """The rows with `_value`, the running aggregate of x.
 
         The order is cut into buckets at its approximate quantiles. Running values inside
         a bucket come from a window per bucket; what all earlier buckets give is a
@@ -97,12 +101,12 @@ class Seq:
         cuts = sorted(set(cuts))
         marks = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
         rows = self.df.withColumn("_b", F.size(F.filter(marks, lambda c: c < self._o)))
-        local = rows.withColumn("_r", inside(self._x).over(W.partitionBy("_b").orderBy(self._o).rowsBetween(W.unboundedPreceding, 0)))
-        totals = rows.groupBy("_b").agg(inside(self._x).alias("_t"))
+        local = rows.withColumn("_r", inside(x).over(W.partitionBy("_b").orderBy(self._o).rowsBetween(W.unboundedPreceding, 0)))
+        totals = rows.groupBy("_b").agg(inside(x).alias("_t"))
         before = totals.select(F.col("_b").alias("_of"), over("_t").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
         out = local.join(F.broadcast(before), F.col("_b") == F.col("_of"))
         value = F.when(F.col("_before").isNull(), F.col("_r")).when(F.col("_r").isNull(), F.col("_before")).otherwise(both(F.col("_before"), F.col("_r")))
-        return replace(self, df=out.select(self.ord, value.alias(self.item)))
+        return out.withColumn("_value", value)
 
     def scan_fold(self, init: Column, f: Fold) -> Seq:
         """A running fold of any step function, emitting the state after each item.
@@ -118,9 +122,7 @@ class Seq:
 
     def enumerate(self) -> DataFrame:
         """(ord, item, index): places from 0, without a global sort."""
-        place = Seq(self.df.select(self._o.alias("ord"), F.lit(1).alias("item"))).scan("count")
-        index = place.df.select(F.col("ord").alias("_o"), (F.col("item") - 1).alias("index"))
-        return self.df.join(index, self._o == F.col("_o")).select(self.ord, self.item, "index")
+        return self._running(F.lit(1), "count").select(self.ord, self.item, (F.col("_value") - 1).alias("index"))
 
     def zip(self, other: Seq, f: Fold | None = None) -> Seq:
         """Pairs of items at the same place; ends with the shorter sequence."""
