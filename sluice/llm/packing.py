@@ -42,7 +42,7 @@ LEAST_ITEM, MOST_ITEM = 4, 64
 #: Penalties in padding tokens: a cut inside a document, and one inside a sentence.
 IN_DOCUMENT, IN_SENTENCE = 2, 12
 #: Words, and runs of letters, whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 800_000, 64
 #: Signs that may follow a word's letters, and how many runs of them are remembered.
 SIGNS, SIGN_RUNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", 5000
 
@@ -128,6 +128,8 @@ class Encoder:
 
     def encode(self, text: str) -> tuple[bytes, np.ndarray]:
         """(ids as little-endian 32-bit numbers, ends of sentences in ids)."""
+        if text.isascii() and "<|" not in text:  # no special token, whose case counts
+            text = text.lower()
         words = text.replace("\n", " ").split(" ")
         new = set(words).difference(self.ids)
         if new:
