@@ -20,7 +20,6 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import os
-import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -46,7 +45,8 @@ REMEMBERED, LONGEST = 800_000, 64
 #: Signs that may follow a word's letters, and how many runs of them are remembered.
 SIGNS, SIGN_RUNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", 5000
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: A row per piece; `ids` holds its tokens as little-endian 32-bit numbers.
+PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
@@ -251,10 +251,9 @@ class Stream:
         base = 0
         rest = []
         for doc_id, ids, done, total, where, penalty in self.open:
-            view = memoryview(ids)
             while done < total and k < len(cuts):
                 here = min(total - done, cuts[k] - base)
-                yield doc_id, done, here, zlib.crc32(view[4 * done : 4 * (done + here)]), total, self.sequence, base - begin
+                yield doc_id, done, here, ids[4 * done : 4 * (done + here)], total, self.sequence, base - begin
                 done += here
                 base += here
                 if base == cuts[k]:
@@ -272,7 +271,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     small_batches(docs.sparkSession)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
         return out.assign(doc_id=out["doc_id"].astype("Int64"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

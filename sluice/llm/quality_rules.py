@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, free_name
 
 #: A line is common in more documents of a host than either of these.
 LIMIT_DOCS = 10
@@ -36,6 +36,16 @@ def covered(positions: Column, width: int) -> Column:
     return F.aggregate(positions, start, step, lambda a: a["n"])
 
 
+def line_hash(words: Column) -> Column:
+    """Hash of a line's words, lower-cased and joined by one space."""
+    return F.xxhash64(F.lower(F.array_join(words, " ")))
+
+
+def row_key(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Column:
+    """Equal rows, which share a verdict, have equal keys."""
+    return F.xxhash64(docs[id_col], docs[text_col], docs[host_col], docs[id_col].isNull(), docs[text_col].isNull(), docs[host_col].isNull())
+
+
 def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """One row per document: the base figures, and `lines` as (hash, words).
 
@@ -43,21 +53,21 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     use is computed once per row.
     """
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
+        F.monotonically_increasing_id().alias("row"), row_key(docs, id_col, text_col, host_col).alias("key"), F.col(id_col).alias("doc_id"),
         F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     raw = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD))
     rows = rows.withColumn("raw", raw).withColumn("split", F.transform("raw", lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0))))
     rows = rows.select(
-        "row", "doc_id", "host", F.flatten("split").alias("words"),
+        "row", "key", "doc_id", "host", F.flatten("split").alias("words"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
         (F.size("raw") - F.size(F.array_distinct("raw"))).cast("bigint").alias("n_dup_lines"),
-        F.transform("split", lambda w: F.struct(F.xxhash64(F.lower(F.array_join(w, " "))).alias("h"), F.size(w).alias("n"))).alias("lines"),
+        F.transform("split", lambda w: F.struct(line_hash(w).alias("h"), F.size(w).alias("n"))).alias("lines"),
     )
     n = F.size("words")
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))))
     rows = rows.select(
-        "row", "doc_id", "host", "n_symbols", "n_dup_lines", "lines", n.cast("bigint").alias("n_words"),
+        "row", "key", "doc_id", "host", "n_symbols", "n_dup_lines", "lines", n.cast("bigint").alias("n_words"),
         F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"), windows.alias("windows"),
     )
     twice = F.size(F.array_distinct("windows")) < F.size("windows")
@@ -66,23 +76,43 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     places = F.transform(F.filter("sorted", lambda e, i: F.coalesce(same(e, i), F.lit(False))), lambda e: e["p"])
     rows = rows.withColumn("places", F.sort_array(places))
     return rows.select(
-        "row", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "row", "key", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.when(F.col("places").isNotNull(), covered(F.col("places"), 3)).otherwise(F.lit(0)).cast("bigint").alias("n_repeat_words"), "lines",
     )
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE, depleted: float = DEPLETED) -> DataFrame:
-    """The base figures, `base_failed`, `common_words` (in lines above the limits) and `kept` of every row."""
+def judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, limit_docs: int, limit_share: float, depleted: float) -> tuple[DataFrame, DataFrame]:
+    """(figures and verdict of every row, the common lines of each row as (row, key, h, n))."""
     rows = cut(measured(docs, id_col, text_col, host_col), "measured")
-    key = F.coalesce(F.concat(F.lit("h"), F.col("host")), F.lit("n"))
-    lines = rows.select("row", key.alias("k"), F.explode("lines").alias("l")).select("row", "k", "l.h", "l.n")
-    once = rows.select(key.alias("k"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    host = F.coalesce(F.concat(F.lit("h"), F.col("host")), F.lit("n"))
+    lines = rows.select("row", "key", host.alias("k"), F.explode("lines").alias("l")).select("row", "key", "k", "l.h", "l.n")
+    once = rows.select(host.alias("k"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     found = once.groupBy("k", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > limit_docs)
-    hosts = rows.groupBy(key.alias("k")).agg(F.count("*").alias("host_docs"))
+    hosts = rows.groupBy(host.alias("k")).agg(F.count("*").alias("host_docs"))
     common = found.join(hosts, "k").where(F.col("docs") > F.col("host_docs") * limit_share).select("k", "h")
     common = cut(common, "common")  # read anew, so that a hot line's join can be split
-    lost = lines.join(common, ["k", "h"]).groupBy("row").agg(F.sum("n").cast("bigint").alias("common_words"))
+    removed = lines.join(common, ["k", "h"])
+    lost = removed.groupBy("row").agg(F.sum("n").cast("bigint").alias("common_words"))
     out = rows.drop("lines").join(lost, "row", "left").withColumn("common_words", F.coalesce("common_words", F.lit(0).cast("bigint")))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~base & (F.col("common_words") <= F.col("n_words") * depleted)
-    return out.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "common_words", base.alias("base_failed"), kept.alias("kept"))
+    return out.withColumn("base_failed", base).withColumn("kept", kept), removed
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE, depleted: float = DEPLETED) -> DataFrame:
+    """The base figures, `base_failed`, `common_words` (in lines above the limits) and `kept` of every row."""
+    found, _ = judged(docs, id_col, text_col, host_col, limit_docs, limit_share, depleted)
+    return found.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "common_words", "base_failed", "kept")
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE, depleted: float = DEPLETED) -> DataFrame:
+    """The rows of `docs` that are kept, their texts without the common lines; all columns stay."""
+    found, removed = judged(docs, id_col, text_col, host_col, limit_docs, limit_share, depleted)
+    of, gone = free_name(docs, "rule_key"), free_name(docs, "rule_lines")
+    lines = removed.groupBy("key").agg(F.collect_set("h").alias("gone"))  # at most a row's own lines
+    keys = found.where("kept").select("key").distinct().join(lines, "key", "left")
+    keys = cut(keys.select(F.col("key").alias(of), F.coalesce("gone", F.array().cast("array<bigint>")).alias(gone)), "kept")
+    out = docs.withColumn(f"{of}_", row_key(docs, id_col, text_col, host_col)).join(keys, F.col(f"{of}_") == F.col(of))
+    stays = lambda x: ~F.array_contains(F.col(gone), line_hash(F.regexp_extract_all(x, F.lit(WORD), F.lit(0))))
+    text = F.array_join(F.filter(F.split(text_col, "\n", -1), stays), "\n")
+    return out.select(*[text.alias(c) if c == text_col else out[c] for c in docs.columns])

@@ -161,6 +161,13 @@ def test_quality_rules(spark):
     assert got == dict(enumerate(want))
     assert not any(got[k][-1] for k in range(60, 75))  # depleted copies
     assert any(got[k][-1] for k in range(60))
+    cleaned = quality_rules.clean(df)
+    assert cleaned.columns == df.columns
+    cleaned = {r.doc_id: r.text for r in cleaned.collect()}
+    assert set(cleaned) == {k for k, v in got.items() if v[-1]}
+    for k in (k for k in cleaned if k < 60):
+        common = hosts[k] == "h1" and k % 3 == 0 or hosts[k] is None and k % 3 == 0 and sum(h is None and j % 3 == 0 for j, h in enumerate(hosts[:60])) > 10
+        assert cleaned[k] == ("\n".join(x for x in texts[k].split("\n") if not x.startswith("A Common")) if common else texts[k])
     twice = df.where("doc_id < 5").unionAll(df.where("doc_id < 5"))
     assert quality_rules.quality(twice).count() == 10
     assert quality_rules.quality(df.limit(0)).count() == 0

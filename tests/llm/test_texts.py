@@ -224,7 +224,7 @@ def check_pieces(rows, want, size):
         for r in sorted(found, key=lambda r: r.start):
             assert r.start == end and r.doc_tokens == len(ids)
             end += r.length
-            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : end], "<u4").tobytes())
+            assert bytes(r.ids) == np.array(ids[r.start : end], "<u4").tobytes()
         assert end == len(ids)
     return padding, total
 
@@ -246,7 +246,7 @@ def test_packing(spark, encoder, monkeypatch):
     out += stream.pack(True)
     from types import SimpleNamespace
 
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     check_pieces([SimpleNamespace(**dict(zip(names, p))) for p in out], want, 128)
     assert [p[0] for p in out] == sorted(p[0] for p in out)
     assert [p[5] for p in out] == sorted(p[5] for p in out)
@@ -362,6 +362,16 @@ def test_pipeline(spark, tmp_path):
     assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, now.collect()), key=str)
 
 
+def test_packing_query(spark, encoder, tmp_path):
+    text = "one two, three. " * 2000
+    spark.createDataFrame([(5, text, "en", "s", 0)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    ids = [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    rows = queries.queries()["op9_packing"](spark, str(tmp_path)).collect()
+    assert sum(r.length for r in rows) == len(ids)
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
