@@ -40,8 +40,8 @@ BLOCK = 1 << 20
 LEAST_ITEM, MOST_ITEM = 4, 64
 #: Penalties in padding tokens: a cut inside a document, and one inside a sentence.
 IN_DOCUMENT, IN_SENTENCE = 2, 12
-#: Words, and runs of letters, whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 800_000, 64
+#: Words, and runs of letters, whose ids a worker remembers (about 130 MB), and the longest of them.
+REMEMBERED, LETTERS, LONGEST = 250_000, 400_000, 64
 #: Signs that may follow a word's letters, and how many runs of them are remembered.
 SIGNS, SIGN_RUNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", 5000
 
@@ -74,8 +74,6 @@ class Encoder:
         self.ids: dict[str, bytes] = {}
         self.signs: dict[str, bytes] = {"": b""}
         self.letters: dict[str, bytes] = {}
-        #: the letters remembered before the last time they were too many
-        self.earlier: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(words, add_special_tokens=False)
@@ -96,7 +94,7 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         """Remember the ids of words."""
         split, odd, unknown = [], [], []
-        letters, earlier, signs = self.letters, self.earlier, self.signs
+        letters, signs = self.letters, self.signs
         for word in new:
             stem = word.rstrip(SIGNS)
             sign = word[len(stem) :]
@@ -105,12 +103,8 @@ class Encoder:
             if stem.isalpha() and len(word) <= LONGEST and (stem.isascii() or max(stem) < "\u0250"):
                 split.append((word, stem, sign))
                 if stem not in letters:
-                    known = earlier.get(stem)
-                    if known is None:
-                        letters[stem] = b""
-                        unknown.append(stem)
-                    else:
-                        letters[stem] = known
+                    letters[stem] = b""
+                    unknown.append(stem)
                 if sign not in signs:
                     if len(signs) > SIGN_RUNS:
                         signs.clear()
@@ -136,8 +130,8 @@ class Encoder:
             if len(self.ids) + len(new) > REMEMBERED:
                 self.ids.clear()
                 new = set(words)
-            if len(self.letters) > REMEMBERED:
-                self.earlier, self.letters = self.letters, {}
+            if len(self.letters) > LETTERS:
+                self.letters.clear()
             self._learn(list(new))
         out = b"".join(map(self.ids.__getitem__, words))
         for word in new:

@@ -28,7 +28,7 @@ PASSAGE = 32
 HIDDEN, GATE = 24, 12
 #: Labelled documents of class 0 and 1 that the model is fitted on, at most.
 PER_CLASS = (1000, 1500)
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 SIGNS = frozenset("#*$%&|<>~^_=@{}[]\\")
 #: Features of a word, then of a passage.
 WORD_FEATURES, FEATURES = 10, 15

@@ -35,7 +35,7 @@ PASSAGE, STRIDE = 3, 1
 PER_CLASS = (1600, 800)
 #: Labelled documents that a bucket must be in to have a vector.
 LEAST_DOCS = 4
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Characters of a word that are hashed, and of the texts that are scored together.
 LONGEST, TOGETHER = 40, 2_000_000
 PRIME, MIX = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15)
