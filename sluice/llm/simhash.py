@@ -309,11 +309,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """`docs` with one row of each group of near duplicates: that of the smallest
-    id. Rows without an id stay. All columns are kept."""
+    id. Rows without an id stay. All columns are kept. The ids are as many as the
+    documents, so they are joined by sorting and never broadcast: the texts are
+    shuffled once at every size."""
     found = cut(near_duplicates(docs, id_col, text_col, radius).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     once = found.where("n = 1").select(F.col("doc_id").alias("kept_id"))
     again = found.where("n > 1").select(F.col("doc_id").alias("kept_id"))
-    out = docs.join(once, docs[id_col] == F.col("kept_id"), "left_semi")
+    out = docs.join(once.hint("merge"), docs[id_col] == F.col("kept_id"), "left_semi")
     out = out.unionAll(docs.where(docs[id_col].isNull()))
     if not again.isEmpty():
         more = docs.join(again, docs[id_col] == F.col("kept_id"), "left_semi")
