@@ -11,11 +11,13 @@ Scoring is linear in the words, so a word's share is computed once and remembere
 
 Defined cases: a text without words scores as the bias alone; null counts as empty; without labels
 of both classes every score is 0; texts of any length are scored whole; repeated rows score
-alike; an empty table gives an empty result.
+alike; an empty table gives an empty result. A run of more than LONGEST characters without white
+space (joined terms, a script without spaces) counts as several words, see `parts_of`.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -36,15 +38,35 @@ PER_CLASS = (1600, 800)
 #: Labelled documents that a bucket must be in to have a vector.
 LEAST_DOCS = 4
 REMEMBERED = 250_000
-#: Characters of a word that are hashed, and of the texts that are scored together.
+#: Characters of a run that is one word, and of the texts that are scored together.
 LONGEST, TOGETHER = 40, 2_000_000
-PRIME, MIX = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15)
-POWERS = np.cumprod(np.full(LONGEST + 2, np.uint64(0x100000001B3), np.uint64))
+#: Characters from one piece of a longer run to the next, and of a piece: each n-gram is in one.
+STEP = 6
+PIECE = STEP + GRAMS[1] - 1
+PRIME, MIX, BASE = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 STRIP = "\"'`.,;:!?()[]{}<>#*$%&|~^_=+-/\\@"
+INNER = re.compile(f"[{re.escape(STRIP)}]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    """The runs of a text between white space, long ones in parts."""
+    words = (text or "").lower().split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    out: list[str] = []
+    for w in words:
+        if len(w) > LONGEST and len(core := core_of(w)) > LONGEST:
+            out += parts_of(core)
+        else:
+            out.append(w)
+    return out
+
+
+def parts_of(run: str) -> list[str]:
+    """A long run as words: pieces that overlap by the longest n-gram less 1, so that no part
+    of it is left out, and then what stands between the signs inside it."""
+    pieces = [run[k : k + PIECE] for k in range(0, len(run) - GRAMS[1] + 1, STEP)]
+    return pieces + [w for w in INNER.split(run) if 0 < len(w) <= LONGEST]
 
 
 def core_of(word: str) -> str:
@@ -55,7 +77,7 @@ def core_of(word: str) -> str:
 def grams(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """(position in `words`, bucket) of each word itself and of its n-grams, with marks at
     both ends, by polynomial hashes over code points. A word of signs alone has itself."""
-    marked = [f"<{core_of(w)[:LONGEST]}>" for w in words]
+    marked = [f"<{core_of(w)}>" for w in words]
     code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     stop = np.cumsum(size)
@@ -63,7 +85,8 @@ def grams(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     room = np.repeat(stop, size) - np.arange(len(code))
     place = np.arange(len(code)) - np.repeat(stop - size, size)
     with np.errstate(over="ignore"):
-        whole = np.add.reduceat((code + np.uint64(1)) * POWERS[place], stop - size)
+        powers = np.cumprod(np.full(size.max(initial=0), BASE, np.uint64))
+        whole = np.add.reduceat((code + np.uint64(1)) * powers[place], stop - size)
         owners, hashes = [np.arange(len(marked))], [whole]
         h = code.copy()
         for n in range(2, GRAMS[1] + 1):
