@@ -14,10 +14,15 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..streaming.run import shared_folder
 
 Fold = Callable[[Column, Column], Column]
 #: Buckets of the order for running values.
 BUCKETS = 64
+#: Neighbours that a task of a sequential fold holds, and the states appended to one array.
+RUN, SPAN = 1 << 16, 256
 
 
 def _col(c: Column | str) -> Column:
@@ -111,13 +116,34 @@ class Seq:
     def scan_fold(self, init: Column, f: Fold) -> Seq:
         """A running fold of any step function, emitting the state after each item.
 
-        A step that does not compose cannot be split; the sequence is one array
-        row, so this is for sequences that fit a task, and `scan` for others.
+        A step that does not compose cannot be split, so runs of RUN items, written as
+        arrays into the shared folder, are folded one after the other, a job each, and the
+        state after a run goes to the next. With each run's first state known, the states
+        inside the runs are found in parallel. Every run is read twice and a task holds one.
         """
-        pairs = self.df.agg(F.sort_array(F.collect_list(F.struct(self._o.alias("o"), self._x.alias("x")))).alias("a"))
-        empty = F.transform(F.slice("a", 1, 0), lambda e: F.struct(e["o"].alias("o"), init.alias("x")))
-        step = lambda acc, e: F.struct(f(acc["s"], e["x"]).alias("s"), F.concat(acc["out"], F.array(F.struct(e["o"].alias("o"), f(acc["s"], e["x"]).alias("x")))).alias("out"))
-        out = pairs.select(F.explode(F.aggregate("a", F.struct(init.alias("s"), empty.alias("out")), step)["out"]).alias("e"))
+        spark = self.df.sparkSession
+        pair = F.struct(self._o.alias("o"), self._x.alias("x"))
+        runs = self.enumerate().groupBy(F.expr(f"index div {RUN}").alias("run")).agg(F.sort_array(F.collect_list(pair)).alias("a"))
+        folder = f"{shared_folder(spark)}/runs"
+        runs.repartition("run").write.partitionBy("run").parquet(folder)
+        table = spark.read.schema(runs.schema).parquet(folder)
+        last = table.agg(F.max("run")).first()[0]
+        first = spark.range(1).select(init.alias("s"))
+        schema = StructType([StructField("of", LongType()), StructField("s", first.schema["s"].dataType)])
+        state, starts = first.first()["s"], []
+        for k in range(0 if last is None else last + 1):
+            starts.append((k, state))
+            if k < last:
+                run = spark.read.schema(runs.select("a").schema).parquet(f"{folder}/run={k}")
+                at = spark.createDataFrame(starts[-1:], schema)  # one row
+                state = run.join(F.broadcast(at), on=F.lit(True)).select(F.aggregate("a", F.col("s"), lambda s, e: f(s, e["x"]))).first()[0]
+        # states are appended to spans of SPAN items, as an append copies its array; each span begins with the state before it
+        begin = F.array(F.struct(F.get("a", 0)["o"].alias("o"), F.col("s").alias("x")))
+        append = lambda out, e: F.concat(out, F.array(F.struct(e["o"].alias("o"), f(F.element_at(out, -1)["x"], e["x"]).alias("x"))))
+        spans = F.transform(F.sequence(F.lit(1), F.size("a"), F.lit(SPAN)), lambda i: F.slice("a", i, SPAN))
+        found = F.aggregate(spans, F.array(begin), lambda out, span: F.concat(out, F.array(F.aggregate(span, F.slice(F.element_at(out, -1), -1, 1), append))))
+        states = F.flatten(F.transform(found, lambda span: F.slice(span, 2, SPAN)))
+        out = table.join(F.broadcast(spark.createDataFrame(starts, schema)), F.col("run") == F.col("of")).select(F.explode(states).alias("e"))
         return replace(self, df=out.select(F.col("e.o").alias(self.ord), F.col("e.x").alias(self.item)))
 
     def enumerate(self) -> DataFrame:
