@@ -31,3 +31,10 @@ def test_scan_fold_carries_its_state_over_runs(spark, monkeypatch, n):
 @tables
 def test_scan_fold_query_is_whole(spark):
     assert catalog.QUERIES["iter_scan_fold"](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/events.parquet").count()
+
+
+@tables
+def test_join_dups_has_every_key(spark):
+    keys = spark.read.parquet(f"{FOLDER}/lineitem.parquet").groupBy("l_orderkey").count()
+    want = keys.agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+    assert catalog.QUERIES["join_dups"](spark, FOLDER).count() == want
