@@ -36,8 +36,8 @@ SIZE = 4096
 CLOSE = 2
 #: Tokens packed at a time; the last, still open window goes on with the next block.
 BLOCK = 1 << 20
-#: Shortest and longest item between two places of the dynamic programme.
-LEAST_ITEM, MOST_ITEM = 4, 64
+#: Longest item between two places of the dynamic programme.
+MOST_ITEM = 64
 #: Penalties in padding tokens: a cut inside a document, and one inside a sentence.
 IN_DOCUMENT, IN_SENTENCE = 2, 12
 #: Words, and runs of letters, whose ids a worker remembers (about 130 MB), and the longest of them.
@@ -148,17 +148,9 @@ def encoder(path: str) -> Encoder:
 def places(ends: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Where a document of `total` tokens may be cut, and each cut's penalty; the last is its end."""
     every = np.empty(len(ends) + 1, np.int64)
-    every[:-1], every[-1] = ends, total
+    every[:-1], every[-1] = ends, total  # the closing id is behind the last sentence
     ends = every
     gaps = np.diff(ends, prepend=0)
-    if len(ends) > 1 and gaps.min() < LEAST_ITEM:  # of the sentence ends in each stretch of LEAST_ITEM tokens the last
-        stretch = ends // LEAST_ITEM
-        stretch[-1] = -1
-        last = np.ones(len(ends), bool)
-        last[:-1] = stretch[1:] != stretch[:-1]
-        last[-2] &= ends[-2] < total
-        ends = ends[last]
-        gaps = np.diff(ends, prepend=0)
     if gaps.max() <= MOST_ITEM:
         cost = np.full(len(ends), IN_DOCUMENT)
         cost[-1] = 0

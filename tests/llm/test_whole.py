@@ -2,7 +2,9 @@
 
 import random
 
-from sluice.llm import toxicity
+import numpy as np
+
+from sluice.llm import packing, toxicity
 
 
 def toxic_model():
@@ -38,3 +40,9 @@ def test_toxicity_long_runs_differ_behind_their_start():
         parts = toxicity.words_of(run[:size])
         assert all(any(run[k : k + 7] in p for p in parts) for k in range(size - 6))
     assert toxicity.words_of("a b " + "=" * 40) == ["a", "b", "=" * 40]
+
+
+def test_packing_may_cut_at_every_sentence_end():
+    at, cost = packing.places(np.array([1, 2, 3, 5, 6, 7, 80]), 81)
+    assert at.tolist() == [1, 2, 3, 5, 6, 7, 71, 80, 81]
+    assert cost.tolist() == [2, 2, 2, 2, 2, 2, 12, 2, 0]
