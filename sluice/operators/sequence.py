@@ -213,9 +213,16 @@ class Seq:
 
     def window_fold(self, k: int, init: Column, f: Fold, key: Column | None = None) -> Seq:
         """A fold over each run of k neighbours. `key` splits the sequence into pieces
-        that windows do not cross; without one the whole is a single window partition."""
-        w = (W.partitionBy(key) if key is not None else W.partitionBy()).orderBy(self._o).rowsBetween(0, k - 1)
-        runs = self.df.select(self.ord, F.collect_list(self._x).over(w).alias("_run")).where(F.size("_run") == k)
+        that windows do not cross; without one the order is cut into runs of RUN items,
+        each with the k - 1 items after it."""
+        if key is not None:
+            rows, own, part = self.df, F.lit(True), key
+        else:
+            placed = self.enumerate()
+            into = F.sequence(F.greatest(F.expr(f"(index - {k - 1}) div {RUN}"), F.lit(0).cast("bigint")), F.expr(f"index div {RUN}"))
+            rows, own, part = placed.withColumn("_into", F.explode(into)), F.expr(f"index div {RUN} = _into"), F.col("_into")
+        w = W.partitionBy(part).orderBy(self._o).rowsBetween(0, k - 1)
+        runs = rows.select(self.ord, own.alias("_own"), F.collect_list(self._x).over(w).alias("_run")).where(F.col("_own") & (F.size("_run") == k))
         return replace(self, df=runs.select(self.ord, F.aggregate("_run", init, f).alias(self.item)))
 
     def for_each(self, consume: Callable) -> None:

@@ -317,8 +317,8 @@ frame("iter_nested_sum", "SELECT CAST(sum(l_partkey) AS BIGINT) AS s FROM orders
 frame("iter_scan_fold", "SELECT event_id AS ord, CAST(event_id * 0 + v AS BIGINT) AS item FROM (SELECT event_id, sum(user_id % 7) OVER (ORDER BY event_id) % 1000003 AS v FROM events)", *_SEQ)(
     lambda spark, e: _seq(e).scan_fold(F.lit(0).cast("bigint"), lambda s, x: (s + x % 7) % 1000003).df
 )
-frame("iter_window_product", "SELECT max(p) AS max FROM (SELECT o_custkey, event_id AS e, CAST(product(user_id % 9 + 1) OVER (PARTITION BY o_custkey ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS BIGINT) AS p, count(*) OVER (PARTITION BY o_custkey ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS n FROM (SELECT event_id, user_id, user_id AS o_custkey FROM events)) WHERE n = 4", *_SEQ)(
-    lambda spark, e: Seq(e.select(F.col("event_id").alias("ord"), F.col("user_id").alias("item"))).window_fold(4, F.lit(1).cast("bigint"), lambda a, x: a * (x % 9 + 1), F.col("item")).max()
+frame("iter_window_product", "SELECT max(p) AS max FROM (SELECT CAST(product(user_id % 9 + 1) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS BIGINT) AS p, count(*) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS n FROM events) WHERE n = 4", *_SEQ)(
+    lambda spark, e: _seq(e).window_fold(4, F.lit(1).cast("bigint"), lambda a, x: a * (x % 9 + 1)).max()
 )
 
 # --- programs over ranges ---------------------------------------------------------------

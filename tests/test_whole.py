@@ -38,3 +38,24 @@ def test_join_dups_has_every_key(spark):
     keys = spark.read.parquet(f"{FOLDER}/lineitem.parquet").groupBy("l_orderkey").count()
     want = keys.agg(F.sum(F.col("count") * F.col("count"))).first()[0]
     assert catalog.QUERIES["join_dups"](spark, FOLDER).count() == want
+
+
+@pytest.mark.parametrize("k", [1, 4, 23])
+def test_windows_cross_runs(spark, monkeypatch, k):
+    monkeypatch.setattr(sequence, "RUN", 10, raising=False)
+    values = [(i * 7) % 13 for i in range(95)]
+    df = spark.createDataFrame(list(enumerate(values)), "ord bigint, item bigint").repartition(3)
+    got = Seq(df).window_fold(k, F.lit(0).cast("bigint"), lambda a, x: a * 3 % 1009 + x).df
+    want = []
+    for i in range(95 - k + 1):
+        a = 0
+        for x in values[i : i + k]:
+            a = a * 3 % 1009 + x
+        want.append((i, a))
+    assert sorted(map(tuple, got.collect())) == want
+
+
+@tables
+def test_window_product_is_of_neighbours(spark):
+    items = [r[0] % 9 + 1 for r in spark.read.parquet(f"{FOLDER}/events.parquet").orderBy("event_id").select("user_id").collect()]
+    assert catalog.QUERIES["iter_window_product"](spark, FOLDER).first()[0] == max(math.prod(items[k : k + 4]) for k in range(len(items) - 3))
