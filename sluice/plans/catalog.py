@@ -334,41 +334,44 @@ frame("program_palindrome", "SELECT max(a * b) AS p FROM range(900, 1000) x(a),
 frame("program_triplet", "SELECT a * b * (1000 - a - b) AS p FROM range(1, 500) x(a), range(1, 500) y(b) WHERE a < b AND a * a + b * b = (1000 - a - b) * (1000 - a - b)")(
     lambda spark: spark.range(1, 500).toDF("a").withColumn("b", F.explode(F.sequence(F.col("a") + 1, F.lit(500)))).withColumn("c", 1000 - F.col("a") - F.col("b")).where("a * a + b * b = c * c").selectExpr("a * b * c AS p")
 )
-frame("program_primes", "SELECT CAST(sum(n) AS BIGINT) AS s, count(*) AS c, max(n) AS top FROM range(2, 1000) t(n) WHERE NOT EXISTS (SELECT 1 FROM range(2, 32) u(d) WHERE d * d <= n AND n % d = 0)")(
-    lambda spark: spark.range(2, 1000).where(~F.exists(F.sequence(F.lit(2), F.lit(31)), lambda d: (d * d <= F.col("id")) & (F.col("id") % d == 0))).agg(F.sum("id").alias("s"), F.count("*").alias("c"), F.max("id").alias("top"))
+frame("program_primes", "SELECT CAST(sum(n) AS BIGINT) AS s, count(*) AS c, max(n) AS top FROM range(2, 2000000) t(n) WHERE NOT EXISTS (SELECT 1 FROM (SELECT d FROM range(2, 1415) v(d) WHERE NOT EXISTS (SELECT 1 FROM range(2, 38) w(e) WHERE e * e <= d AND d % e = 0)) u WHERE d * d <= n AND n % d = 0)")(
+    lambda spark: spark.range(2, 2000000).where(~F.exists(F.sequence(F.lit(2), F.lit(1414)), lambda d: (d * d <= F.col("id")) & (F.col("id") % d == 0))).agg(F.sum("id").alias("s"), F.count("*").alias("c"), F.max("id").alias("top"))
 )
 sql("program_gcd", "WITH RECURSIVE g(a, b) AS (SELECT CAST(1071 AS BIGINT), CAST(462 AS BIGINT) UNION ALL SELECT b, a % b FROM g WHERE b > 0) SELECT max(CASE WHEN b = 0 THEN a END) AS gcd FROM g")
 sql("program_collatz", "WITH RECURSIVE c(s, n, k) MAX RECURSION LEVEL 400 AS (SELECT id, id, 1 FROM range(1, 100) UNION ALL SELECT s, CASE WHEN n % 2 = 0 THEN n DIV 2 ELSE 3 * n + 1 END, k + 1 FROM c WHERE n > 1) SELECT s, max(k) AS k FROM c GROUP BY s", "WITH RECURSIVE c(s, n, k) AS (SELECT i, i, 1 FROM range(1, 100) t(i) UNION ALL SELECT s, CASE WHEN n % 2 = 0 THEN n // 2 ELSE 3 * n + 1 END, k + 1 FROM c WHERE n > 1) SELECT s, max(k) AS k FROM c GROUP BY s")
-frame("program_digit_factorials", "SELECT CAST(sum(i) AS BIGINT) AS s FROM range(10, 50000) t(i) WHERE i = list_sum(list_transform(string_split(CAST(i AS VARCHAR), ''), lambda d: factorial(CAST(d AS INTEGER))))")(
-    lambda spark: spark.range(10, 50000).where(F.col("id") == F.aggregate(F.split(F.col("id").cast("string"), ""), F.lit(0).cast("bigint"), lambda a, d: a + F.factorial(d.cast("int")))).agg(F.sum("id").alias("s"))
+frame("program_digit_factorials", "SELECT CAST(sum(i) AS BIGINT) AS s FROM range(10, 2540160) t(i) WHERE i = list_sum(list_transform(string_split(CAST(i AS VARCHAR), ''), lambda d: factorial(CAST(d AS INTEGER))))")(
+    lambda spark: spark.range(10, 2540160).where(F.col("id") == F.aggregate(F.split(F.col("id").cast("string"), ""), F.lit(0).cast("bigint"), lambda a, d: a + F.factorial(d.cast("int")))).agg(F.sum("id").alias("s"))
 )
-frame("program_amicable", "WITH d AS (SELECT n, coalesce(CAST(sum(k) AS BIGINT), 0) AS s FROM range(2, 2000) t(n), range(1, 1000) u(k) WHERE k < n AND n % k = 0 GROUP BY n) SELECT CAST(sum(a.n) AS BIGINT) AS total FROM d a JOIN d b ON a.s = b.n AND b.s = a.n WHERE a.n <> b.n")(
+frame("program_amicable", "WITH d AS (SELECT n, coalesce(CAST(sum(k) AS BIGINT), 0) AS s FROM range(2, 10000) t(n), range(1, 5000) u(k) WHERE k < n AND n % k = 0 GROUP BY n) SELECT CAST(sum(a.n) AS BIGINT) AS total FROM d a JOIN d b ON a.s = b.n AND b.s = a.n WHERE a.n <> b.n")(
     lambda spark: _amicable(spark)
 )
 frame("program_reverse", "SELECT -event_id AS ord, user_id AS item FROM events", *_SEQ)(lambda spark, e: _seq(e).reverse().df)
-frame("program_triangle", "SELECT CAST(23 AS BIGINT) AS best")(
-    lambda spark: spark.createDataFrame([([[3], [7, 4], [2, 4, 6], [8, 5, 9, 3]],)], "rows array<array<bigint>>").select(
-        F.get(F.aggregate(F.reverse("rows"), F.array_repeat(F.lit(0).cast("bigint"), 5), lambda below, row: F.transform(row, lambda x, i: x + F.greatest(F.get(below, i), F.get(below, i + 1)))), 0).alias("best")
+_TRIANGLE = "75|95 64|17 47 82|18 35 87 10|20 4 82 47 65|19 1 23 75 3 34|88 2 77 73 7 63 67|99 65 4 28 6 16 70 92|41 41 26 56 83 40 80 70 33|41 48 72 33 47 32 37 16 94 29|53 71 44 65 25 43 91 52 97 51 14|70 11 33 28 77 73 17 78 39 68 17 57|91 71 52 38 17 14 91 43 58 50 27 29 48|63 66 4 68 89 53 67 30 73 16 69 87 40 31|4 62 98 27 23 9 70 98 73 93 38 53 60 4 23"
+frame("program_triangle", "SELECT CAST(1074 AS BIGINT) AS best")(
+    lambda spark: spark.createDataFrame([([[int(x) for x in row.split()] for row in _TRIANGLE.split("|")],)], "rows array<array<bigint>>").select(
+        F.get(F.aggregate(F.reverse("rows"), F.array_repeat(F.lit(0).cast("bigint"), 16), lambda below, row: F.transform(row, lambda x, i: x + F.greatest(F.get(below, i), F.get(below, i + 1)))), 0).alias("best")
     )
 )
 
 
-sql("program_prime_factor", "WITH RECURSIVE f(n, d) AS (SELECT CAST(13195 AS BIGINT), CAST(2 AS BIGINT) UNION ALL SELECT CASE WHEN n % d = 0 THEN n DIV d ELSE n END, CASE WHEN n % d = 0 THEN d ELSE d + 1 END FROM f WHERE n > 1) SELECT max(d) AS factor FROM f", "WITH RECURSIVE f(n, d) AS (SELECT CAST(13195 AS BIGINT), CAST(2 AS BIGINT) UNION ALL SELECT CASE WHEN n % d = 0 THEN n // d ELSE n END, CASE WHEN n % d = 0 THEN d ELSE d + 1 END FROM f WHERE n > 1) SELECT max(d) AS factor FROM f")
-frame("program_smallest_multiple", "SELECT min(i) AS n FROM range(2520, 300000, 2520) t(i) WHERE i % 11 = 0 AND i % 13 = 0 OR i = 27720")(
-    lambda spark: spark.range(2520, 300000, 2520).where("id % 11 = 0 AND id % 13 = 0 OR id = 27720").agg(F.min("id").alias("n"))
+frame("program_prime_factor", "WITH RECURSIVE f(n, d) AS (SELECT CAST(600851475143 AS BIGINT), CAST(2 AS BIGINT) UNION ALL SELECT CASE WHEN n % d = 0 THEN n // d ELSE n END, CASE WHEN n % d = 0 THEN d ELSE d + 1 END FROM f WHERE n > 1) SELECT max(d) AS factor FROM f")(
+    lambda spark: spark.range(1, 775147).where("600851475143 % id = 0").selectExpr("explode(array(id, 600851475143 div id)) AS f").where("f > 1 AND NOT exists(sequence(2L, greatest(2L, cast(sqrt(f) AS bigint))), d -> d < f AND f % d = 0)").agg(F.max("f").alias("factor"))
 )
-frame("program_divisible_triangle", "SELECT min(t) AS t FROM (SELECT i * (i + 1) // 2 AS t FROM range(1, 300) r(i)) WHERE (SELECT count(*) FROM range(1, 45000) u(d) WHERE d <= t AND t % d = 0) > 50")(
-    lambda spark: spark.range(1, 300).selectExpr("id * (id + 1) div 2 AS t").where("aggregate(filter(sequence(1, cast(floor(sqrt(t)) as int)), d -> t % d = 0), 0, (a, d) -> a + CASE WHEN d * d = t THEN 1 ELSE 2 END) > 50").agg(F.min("t").alias("t"))
+frame("program_smallest_multiple", "SELECT CAST(list_reduce(range(1, 21), lambda a, k: lcm(a, k)) AS BIGINT) AS n")(
+    lambda spark: spark.range(1).select(F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.lit(20).cast("bigint")), F.lit(1).cast("bigint"), lambda a, k: scalar.int_div(a, _gcd(a, k)) * k).alias("n"))
 )
-frame("program_lattice", "SELECT CAST(184756 AS BIGINT) AS paths")(
-    lambda spark: spark.range(1).select(F.aggregate(F.sequence(F.lit(1), F.lit(10)), F.lit(1).cast("bigint"), lambda a, k: F.floor(a * (k + 10) / k)).alias("paths"))
+frame("program_divisible_triangle", "SELECT min(t) AS t FROM (SELECT t FROM (SELECT i * (i + 1) // 2 AS t FROM range(1, 12500) r(i)) JOIN range(1, 8840) u(d) ON d * d <= t AND t % d = 0 GROUP BY t HAVING sum(CASE WHEN d * d = t THEN 1 ELSE 2 END) > 500)")(
+    lambda spark: spark.range(1, 12500).selectExpr("id * (id + 1) div 2 AS t").where("aggregate(filter(sequence(1, cast(floor(sqrt(t)) as int)), d -> t % d = 0), 0, (a, d) -> a + CASE WHEN d * d = t THEN 1 ELSE 2 END) > 500").agg(F.min("t").alias("t"))
+)
+frame("program_lattice", "SELECT CAST(137846528820 AS BIGINT) AS paths")(
+    lambda spark: spark.range(1).select(F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.lit(1).cast("bigint"), lambda a, k: F.floor(a * (k + 20) / k)).alias("paths"))
 )
 sql("program_spiral", "SELECT 1 + CAST(sum(4 * (2 * id + 1) * (2 * id + 1) - 12 * id) AS BIGINT) AS s FROM range(1, 501)", "SELECT 1 + CAST(sum(4 * (2 * i + 1) * (2 * i + 1) - 12 * i) AS BIGINT) AS s FROM range(1, 501) t(i)")
-frame("program_digit_powers", "SELECT CAST(sum(i) AS BIGINT) AS s FROM range(10, 200000) t(i) WHERE i = list_sum(list_transform(string_split(CAST(i AS VARCHAR), ''), lambda d: CAST(d AS INTEGER) ** 5))")(
-    lambda spark: spark.range(10, 200000).where(F.col("id") == F.aggregate(F.split(F.col("id").cast("string"), ""), F.lit(0).cast("bigint"), lambda a, d: a + F.pow(d.cast("bigint"), F.lit(5)).cast("bigint"))).agg(F.sum("id").alias("s"))
+frame("program_digit_powers", "SELECT CAST(sum(i) AS BIGINT) AS s FROM range(10, 354295) t(i) WHERE i = list_sum(list_transform(string_split(CAST(i AS VARCHAR), ''), lambda d: CAST(d AS INTEGER) ** 5))")(
+    lambda spark: spark.range(10, 354295).where(F.col("id") == F.aggregate(F.split(F.col("id").cast("string"), ""), F.lit(0).cast("bigint"), lambda a, d: a + F.pow(d.cast("bigint"), F.lit(5)).cast("bigint"))).agg(F.sum("id").alias("s"))
 )
-frame("program_nth_prime", "SELECT n AS prime FROM (SELECT n, row_number() OVER (ORDER BY n) AS k FROM range(2, 1000) t(n) WHERE NOT EXISTS (SELECT 1 FROM range(2, 32) u(d) WHERE d * d <= n AND n % d = 0)) WHERE k = 101")(
-    lambda spark: Seq.range(spark, 2, 1000).filter(lambda n: ~F.exists(F.sequence(F.lit(2), F.lit(31)), lambda d: (d * d <= n) & (n % d == 0))).enumerate().where("index = 100").select(F.col("item").alias("prime"))
+frame("program_nth_prime", "SELECT n AS prime FROM (SELECT n, row_number() OVER (ORDER BY n) AS k FROM range(2, 105000) t(n) WHERE NOT EXISTS (SELECT 1 FROM range(2, 325) u(d) WHERE d * d <= n AND n % d = 0)) WHERE k = 10001")(
+    lambda spark: Seq.range(spark, 2, 105000).filter(lambda n: ~F.exists(F.sequence(F.lit(2), F.lit(324)), lambda d: (d * d <= n) & (n % d == 0))).enumerate().where("index = 10000").select(F.col("item").alias("prime"))
 )
 frame("program_totient", "WITH RECURSIVE g(n, a, b) AS (SELECT n, n, k FROM range(1, 60) t(n), range(1, 60) u(k) WHERE k <= n UNION ALL SELECT n, b, a % b FROM g WHERE b > 0) SELECT n, count(*) AS phi FROM g WHERE b = 0 AND a = 1 GROUP BY n")(
     lambda spark: spark.range(1, 60).select(F.col("id").alias("n"), F.size(F.filter(F.sequence(F.lit(1).cast("bigint"), F.col("id")), lambda k: _gcd(F.col("id"), k) == 1)).cast("bigint").alias("phi"))
@@ -416,8 +419,8 @@ def _(spark, events):
 
 
 def _amicable(spark: SparkSession) -> DataFrame:
-    divisors = F.filter(F.sequence(F.lit(1), F.lit(1000)), lambda k: (k < F.col("n")) & (F.col("n") % k == 0))
-    d = spark.range(2, 2000).toDF("n").withColumn("s", F.aggregate(divisors, F.lit(0).cast("bigint"), lambda a, x: a + x))
+    divisors = F.filter(F.sequence(F.lit(1), F.lit(5000)), lambda k: (k < F.col("n")) & (F.col("n") % k == 0))
+    d = spark.range(2, 10000).toDF("n").withColumn("s", F.aggregate(divisors, F.lit(0).cast("bigint"), lambda a, x: a + x))
     a, b = d.alias("a"), d.alias("b")
     pairs = a.join(b, (F.col("a.s") == F.col("b.n")) & (F.col("b.s") == F.col("a.n"))).where("a.n <> b.n")
     return pairs.agg(F.sum("a.n").alias("total"))

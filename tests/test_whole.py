@@ -59,3 +59,15 @@ def test_windows_cross_runs(spark, monkeypatch, k):
 def test_window_product_is_of_neighbours(spark):
     items = [r[0] % 9 + 1 for r in spark.read.parquet(f"{FOLDER}/events.parquet").orderBy("event_id").select("user_id").collect()]
     assert catalog.QUERIES["iter_window_product"](spark, FOLDER).first()[0] == max(math.prod(items[k : k + 4]) for k in range(len(items) - 3))
+
+
+#: The reference's arguments and answers (rust-lms/tests/euler.rs).
+ANSWERS = {
+    "prime_factor": 6857, "smallest_multiple": 232792560, "nth_prime": 104743, "primes": 142913828922, "divisible_triangle": 76576500,
+    "lattice": 137846528820, "amicable": 31626, "digit_powers": 443839, "digit_factorials": 40730, "triangle": 1074,
+}
+
+
+@pytest.mark.parametrize("name", ANSWERS)
+def test_programs_at_the_arguments_of_the_reference(spark, name):
+    assert catalog.QUERIES[f"program_{name}"](spark, FOLDER).first()[0] == ANSWERS[name]
