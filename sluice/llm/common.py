@@ -1,24 +1,33 @@
-"""Shared helpers of the training-data operators: cuts of lineage and model shipping."""
+"""Shared helpers of the training-data operators: cuts of lineage, Arrow batches, labelled samples."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: White space of the word rule: space and code points 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows of one Arrow batch. Long texts make batches large, so it stays small.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch that a worker turns into Python objects at a time; a single
+#: row may be larger. The batches themselves are bounded by the session (64 MB by default).
+PIECE_ROWS, PIECE_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir` of the
-    session, or one of our own where that is unset (tests, a single machine)."""
+    session. Where that is unset, a local folder if all runs in this process (tests, a
+    single machine); on a cluster it must be set, as machines don't see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"/tmp/checkpoints/sluice-{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -55,20 +64,50 @@ def drop_cut(df: DataFrame) -> None:
             _CUTS.discard(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all cuts of this process: call it when all results were written."""
-    for path in list(_CUTS):
+def release(spark: SparkSession, before: set[str] | None = None) -> None:
+    """Delete the cuts of this process, or those made since `before` (of `cuts()`): call
+    it when the results that read them were written."""
+    for path in _CUTS - (before or set()):
         _delete(spark, path)
         _CUTS.discard(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to BATCH_ROWS rows, so that a batch of long texts fits a
-    Python worker. A smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def cuts() -> set[str]:
+    """The cuts that are not deleted yet."""
+    return set(_CUTS)
+
+
+def pieces(batch: pa.RecordBatch | pa.Array) -> Iterator:
+    """A batch in slices of at most PIECE_ROWS rows and about PIECE_BYTES bytes."""
+    n = len(batch)
+    step = max(1, min(PIECE_ROWS, n * PIECE_BYTES // max(1, batch.nbytes)))
+    for at in range(0, n, step):
+        yield batch.slice(at, step)
+
+
+def map_columns(df: DataFrame, run: Callable[[Iterator[list[list]]], Iterator[list]], schema: str) -> DataFrame:
+    """Each partition through `run`, which gets its rows piece by piece, a list per column,
+    and yields lists per column of `schema`. Whole numbers stay exact beside nulls."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = ([c.to_pylist() for c in part.columns] for batch in batches for part in pieces(batch))
+        for out in run(parts):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind)], schema=kind)
+
+    return df.mapInArrow(work, schema)
+
+
+def score_column(scores: Callable[[], Callable[[list], list[float]]]):
+    """A column function text -> double; `scores()` makes a worker's function over a list of texts."""
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = scores()
+        for batch in batches:
+            yield pa.array([s for part in pieces(batch) for s in of(part.to_pylist())], pa.float64())
+
+    return score
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -88,35 +127,40 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], seed: int = 17, max_chars: int = 50_000) -> list[tuple[str, int]]:
-    """At most `per_class[y]` texts of each label value y, in the order of a seeded hash
-    of doc_id; rows with crc32(doc_id) mod 5 = 0 are never among them.
+def labelled_samples(docs: DataFrame, labels: DataFrame, wanted: dict[str, tuple[int, int]], seed: int = 17, max_chars: int = 50_000) -> dict[str, list[tuple[str, int]]]:
+    """For each label column at most `wanted[label][y]` texts of each value y, the first of them
+    in the order of a seeded hash of doc_id; rows with crc32(doc_id) mod 5 = 0 are never among them.
 
-    The two top-k steps and `max_chars` bound what reaches the driver: a chosen text
-    is taken whole, or, if longer than `max_chars`, not at all.
-    Documents with several labels count once with the largest. Null labels and
-    null texts teach nothing and are left out.
+    The top-k steps and `max_chars` bound what reaches the driver: a chosen text is taken
+    whole, or, if longer than `max_chars`, not at all. All labels share one parallel pass
+    over the texts, whose few rows are written and then fetched by one job.
+    Documents with several labels count once with the largest, of several texts the
+    smallest is taken. Null labels and null texts teach nothing and are left out.
     """
     spark = docs.sparkSession
-    known = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
-        .where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-        .groupBy("doc_id").agg(F.max(label).alias("y"))
-        .withColumn("o", F.xxhash64(F.lit(seed), "doc_id"))
-    )
-    ids: list[tuple[int, int]] = []
-    for y in (0, 1):
-        ids += [(r.doc_id, y) for r in known.where(F.col("y") == y).orderBy("o", "doc_id").select("doc_id").limit(per_class[y]).collect()]
+    free = labels.where(F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    chosen: dict[str, dict[int, int]] = {}
+    for label, per_class in wanted.items():
+        known = free.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y")).withColumn("o", F.xxhash64(F.lit(seed), "doc_id"))
+        chosen[label] = {}
+        for y in (0, 1):
+            first = known.where(F.col("y") == y).orderBy("o", "doc_id").select("doc_id").limit(per_class[y])
+            chosen[label] |= {r.doc_id: y for r in first.collect()}
+    ids = sorted(set().union(*chosen.values()))
     if not ids:
-        return []
-    # at most sum(per_class) rows of two numbers: small enough to broadcast
-    wanted = spark.createDataFrame(ids, "wanted_id long, y int")
-    found = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(wanted), F.col("doc_id") == F.col("wanted_id"))
-    got: dict[int, tuple[str, int]] = {}
-    for r in found.select("doc_id", "text", "y").toLocalIterator():
-        if r.doc_id not in got or r.text < got[r.doc_id][0]:
-            got[r.doc_id] = (r.text, r.y)
-    return [got[k] for k in sorted(got)]
+        return {label: [] for label in wanted}
+    # at most the sum of all per_class numbers: small enough to broadcast
+    of = spark.createDataFrame([(i,) for i in ids], "wanted_id long")
+    found = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(of), F.col("doc_id") == F.col("wanted_id"), "left_semi")
+    rows = cut(found.groupBy("doc_id").agg(F.min("text").alias("text")), "sample")
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    drop_cut(rows)
+    return {label: [(texts[i], some[i]) for i in sorted(some) if i in texts] for label, some in chosen.items()}
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], **options) -> list[tuple[str, int]]:
+    """The texts and values of one label column, see `labelled_samples`."""
+    return labelled_samples(docs, labels, {label: per_class}, **options)[label]
 
 
 def tokenizer_path(name: str) -> str:
@@ -124,3 +168,11 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to PIECE_ROWS rows. A smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > PIECE_ROWS:
+        spark.conf.set(key, str(PIECE_ROWS))

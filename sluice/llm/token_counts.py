@@ -2,10 +2,12 @@
 
 A text is cut into words; a pre-token is the mark `▁` and a word. Its segmentation is
 the one of highest total log probability under a unigram model of the vocabulary, ties to fewer
-tokens. Forward scores depend on a prefix alone, so the distinct new pre-tokens of
-a batch are walked as a trie, depth first in sorted order, with the forward scores of the
-path from the root on a stack: a prefix that several share is computed once. At a
+tokens. Forward scores depend on a prefix alone, so the distinct new pre-tokens of all texts of
+a batch are entered into one trie, by sorting them: its nodes are walked depth first with the
+forward scores of the path from the root on a stack, and each node is computed once. At a
 terminal the token count is stored under its word, and documents add up stored counts.
+Stored counts are kept for later batches in two generations, of which the older is dropped
+once the younger is full; a word in use is moved to the younger.
 
 The model: public vocabulary files state an order of their pieces and no
 probabilities, so a piece of rank r (from 1) has probability 1 / r, scaled to sum to 1
@@ -20,23 +22,22 @@ repeated rows count each; an empty table gives an empty result; other columns ar
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import map_columns
 
 MARK = "▁"
 BYTE_RANKS = 8
-REMEMBERED, LONGEST = 300_000, 64
+#: Words of a generation, and bytes of the longest that is remembered.
+REMEMBERED, LONGEST = 200_000, 64
 
 
 class Unigram:
-    """Log probabilities of pieces, and the forward dynamic programme."""
+    """Log probabilities of pieces, and the forward dynamic programme over a trie."""
 
     def __init__(self, pieces: list[str]):
         total = sum(1 / r for r in range(1, len(pieces) + 1))
@@ -44,62 +45,59 @@ class Unigram:
         for r, piece in enumerate(pieces, 1):
             self.score.setdefault(piece, -math.log(r * total))
         self.byte = -math.log(BYTE_RANKS * len(pieces) * total)
-        #: lengths of the pieces that end in a character, the shortest first
-        self.lengths: dict[str, list[int]] = {}
+        #: each ending of a piece -> its score, or 0 if it is not a piece itself (scores are negative)
+        self.endings: dict[str, float] = {}
         for piece in self.score:
-            self.lengths.setdefault(piece[-1], set()).add(len(piece))
-        self.lengths = {c: sorted(n) for c, n in self.lengths.items()}
-        self.known: dict[str, int] = {}
-
-    def forward(self, token: str, best: list[float], count: list[int], i: int) -> None:
-        """Append the forward score and count of the prefix of i characters."""
-        top, least = -math.inf, 0
-        for n in self.lengths.get(token[i - 1], ()):
-            if n > i:
-                break
-            s = self.score.get(token[i - n : i])
-            if s is not None:
-                v, c = best[i - n] + s, count[i - n] + 1
-                if v > top or v == top and c < least:
-                    top, least = v, c
-        if token[i - 1] not in self.score:
-            n = len(token[i - 1].encode("utf-8", "surrogatepass"))
-            v, c = best[i - 1] + n * self.byte, count[i - 1] + n
-            if v > top or v == top and c < least:
-                top, least = v, c
-        best.append(top)
-        count.append(least)
-
-    def learn(self, words: list[str]) -> None:
-        """Store the token counts of words, walking their trie."""
+            for k in range(len(piece)):
+                self.endings.setdefault(piece[k:], 0.0)
+        self.endings |= self.score
+        #: token counts of words (UTF-8): the younger and the older generation
+        self.young: dict[bytes, int] = {}
+        self.old: dict[bytes, int] = {}
+        #: nodes of tries that were computed
+        self.nodes = 0
+
+    def learn(self, words: Iterable[bytes]) -> dict[bytes, int]:
+        """Token counts of distinct words, by a walk over their trie."""
         best, count, before = [0.0], [0], ""
-        for token in sorted(MARK + w for w in words):
+        endings, score, found = self.endings, self.score, {}
+        for token, word in sorted((MARK + w.decode("utf-8", "surrogatepass"), w) for w in words):
             shared, most = 0, min(len(before), len(token))
             while shared < most and before[shared] == token[shared]:
                 shared += 1
             del best[shared + 1 :], count[shared + 1 :]
+            self.nodes += len(token) - shared
             for i in range(shared + 1, len(token) + 1):
-                self.forward(token, best, count, i)
-            self.known[token[1:]] = count[-1]
+                top, least, j = -math.inf, 0, i - 1
+                while j >= 0 and (s := endings.get(token[j:i])) is not None:
+                    if s:
+                        v = best[j] + s
+                        if v > top or v == top and count[j] + 1 < least:
+                            top, least = v, count[j] + 1
+                    j -= 1
+                if token[i - 1] not in score:
+                    n = len(token[i - 1].encode("utf-8", "surrogatepass"))
+                    v = best[i - 1] + n * self.byte
+                    if v > top or v == top and count[i - 1] + n < least:
+                        top, least = v, count[i - 1] + n
+                best.append(top)
+                count.append(least)
+            found[word] = count[-1]
             before = token
-
-    def count(self, text: str | None) -> tuple[int, int]:
-        """(words, tokens) of a text."""
-        text = text or ""
-        for blank in "\t\n\x0b\x0c\r":
-            text = text.replace(blank, " ")
-        words = Counter(text.split(" "))
-        del words[""]
-        new = [w for w in words if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list(words)
-            self.learn(new)
-        out = sum(words.values()), sum(self.known[w] * n for w, n in words.items())
-        for w in new:
-            if len(w) > LONGEST:
-                del self.known[w]
+        return found
+
+    def counts(self, texts: list[str | None]) -> list[tuple[int, int]]:
+        """(words, tokens) of each text of a batch."""
+        # bytes are split at the six ASCII blanks
+        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        used = set().union(*split)
+        known = {w: self.young[w] for w in used & self.young.keys()}
+        known |= {w: self.old[w] for w in (used & self.old.keys()) - known.keys()}
+        known |= self.learn(used - known.keys())
+        out = [(len(words), sum(map(known.__getitem__, words))) for words in split]
+        self.young |= {w: n for w, n in known.items() if len(w) <= LONGEST}
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
         return out
 
 
@@ -119,14 +117,10 @@ def unigram(path: str) -> Unigram:
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_tokens) of every row; `vocabulary` is the file's path on every machine."""
-    small_batches(docs.sparkSession)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[list[list]]) -> Iterator[list]:
         model = unigram(vocabulary)
-        for frame in frames:
-            found = pd.DataFrame([model.count(t) for t in frame["text"]], columns=["n_words", "n_tokens"], dtype="int64")
-            found.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy(dtype=object))
-            yield found.assign(doc_id=found["doc_id"].astype("Int64"))
+        for ids, texts in parts:
+            yield [ids, *zip(*model.counts(texts))]
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_words long, n_tokens long")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return map_columns(rows, run, "doc_id long, n_words long, n_tokens long")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -139,22 +140,46 @@ def brute_count(model, word):
     return -best[-1][1]
 
 
+def forget(model):
+    model.young.clear()
+    model.old.clear()
+    model.nodes = 0
+
+
+def brute_counts(model, texts):
+    return [(len(w), sum(brute_count(model, x) for x in w)) for w in ([x for x in re.split("[ \t\n\x0b\x0c\r]", t or "") if x] for t in texts)]
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text("abcdetion▁éß日🙂.", max_size=12), max_size=12))
-def test_token_counts(unigram, words):
-    unigram.known.clear()
-    text = " \t".join(words)
-    kept = [w for w in words if w]
-    assert unigram.count(text) == (len(kept), sum(brute_count(unigram, w) for w in kept))
+@given(st.lists(st.lists(st.text("abcdetion▁éß日🙂.\x85\u3000", max_size=12), max_size=12).map(" \t".join), max_size=4))
+def test_token_counts(unigram, texts):
+    forget(unigram)
+    assert unigram.counts(texts) == brute_counts(unigram, texts)
+    # every prefix that the batch holds is computed once, and nothing twice
+    words = {token_counts.MARK + w for t in texts for w in re.split("[ \t]", t) if w}
+    assert unigram.nodes == len({w[:i] for w in words for i in range(1, len(w) + 1)})
+    assert unigram.counts(texts) == brute_counts(unigram, texts)
+    assert unigram.nodes == len({w[:i] for w in words for i in range(1, len(w) + 1)})
+
+
+def test_token_counts_with_a_small_memory(unigram, monkeypatch):
+    monkeypatch.setattr(token_counts, "REMEMBERED", 2)
+    monkeypatch.setattr(token_counts, "LONGEST", 3)
+    forget(unigram)
+    for texts in (["a b c d e f"], ["a longer"], ["b"], ["c a longer", "", None], ["d e f g h"]):
+        assert unigram.counts(texts) == brute_counts(unigram, texts)
+        assert len(unigram.young) <= 2 + 6 and not any(len(w) > 3 for w in unigram.young)
 
 
-def test_token_counts_query(spark, unigram, monkeypatch):
+def test_token_counts_query(spark, unigram):
     texts = ["the cat sat", None, "", "\x0b\x0c", "the the\nthe", "x" * 3000, "the cat sat"]
     df = spark.createDataFrame([(None if k == 4 else k, t, "en", "s", 0) for k, t in enumerate(texts)], DOCS).withColumn("n_tokens", F.lit("x"))
     got = {(r.doc_id, r.n_words, r.n_tokens) for r in token_counts.token_counts(df, tokenizer_path("piece_bpe_32k.model")).collect()}
-    assert got == {(None if k == 4 else k, *unigram.count(t)) for k, t in enumerate(texts)}
-    monkeypatch.setattr(token_counts, "REMEMBERED", 2)
-    assert unigram.count("a b c d e f") == (6, sum(brute_count(unigram, w) for w in "abcdef"))
+    assert got == {(None if k == 4 else k, *n) for k, n in enumerate(brute_counts(unigram, texts))}
+    assert token_counts.token_counts(df.limit(0), tokenizer_path("piece_bpe_32k.model")).count() == 0
+    large = (1 << 60) + 1  # ids stay exact beside nulls
+    both = spark.createDataFrame([(large, "a"), (None, "b")], "doc_id bigint, text string").coalesce(1)
+    assert {r.doc_id for r in token_counts.token_counts(both, tokenizer_path("piece_bpe_32k.model")).collect()} == {large, None}
 
 
 # --- packing ---
