@@ -24,11 +24,10 @@ import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import map_columns
 
 
 @dataclass(frozen=True)
@@ -87,35 +86,32 @@ def format_chat(conversations: DataFrame, template: Template | None = None, conv
     """Segments of all conversations. Those of a conversation stand together, in
     order, in one partition; their texts joined are the formatted conversation."""
     template = template or Template()
-    small_batches(conversations.sparkSession)
     rows = conversations.select(
         F.col(conv).cast("bigint").alias("conv_id"), F.col(turn).cast("bigint").alias("turn"),
         F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[list[list]]) -> Iterator[list]:
         now, state, number = object(), "start", 0
-        for frame in frames:
+        for conv_id, _, roles, texts in parts:
             out = []
-            for key, said, words in zip(frame["conv_id"].astype("Int64"), frame["role"], frame["text"]):
-                key = None if pd.isna(key) else int(key)
+            for key, said, words in zip(conv_id, roles, texts):
                 if key != now:
                     now, state, number = key, "start", 0
                 state = template.step(state, said)
                 out += [(key, number, k, s, loss, state) for k, (s, loss) in enumerate(template.segments(said, words))]
                 number += 1
-            made = pd.DataFrame(out, columns=["conv_id", "turn_no", "segment", "text", "loss", "state"])
-            yield made.assign(conv_id=made["conv_id"].astype("Int64"))
+            yield zip(*out)
 
-    return rows.mapInPandas(run, SEGMENTS)
+    return map_columns(rows, run, SEGMENTS)
 
 
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
     """Digests of each conversation, from the output of `format_chat` only."""
     template = template or Template()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[list[list]]) -> Iterator[list]:
         now, tally = object(), None
         pieces: list[str] = []
 
@@ -123,10 +119,9 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
             turns, all_turns, loss, all_loss, chars, state = tally
             return now, turns, all_turns.hexdigest(), loss, all_loss.hexdigest(), chars, state in template.final
 
-        for frame in frames:
+        for conv_id, texts, losses, states in parts:
             out = []
-            for key, part, bears, state in zip(frame["conv_id"].astype("Int64"), frame["text"], frame["loss"], frame["state"]):
-                key = None if pd.isna(key) else int(key)
+            for key, part, bears, state in zip(conv_id, texts, losses, states):
                 if key != now:
                     if tally:
                         out.append(done())
@@ -143,13 +138,9 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
                     pieces.clear()
                     tally[0] += 1
                     tally[1].update(f"{said}\n{words}\n".encode())
-            yield _digests(out)
+            if out:
+                yield zip(*out)
         if tally:
-            yield _digests([done()])
+            yield zip(*[done()])
 
-    return segments.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
-
-
-def _digests(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"])
-    return out.assign(conv_id=out["conv_id"].astype("Int64"))
+    return map_columns(segments.select("conv_id", "text", "loss", "state"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")

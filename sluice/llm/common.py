@@ -168,11 +168,3 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to PIECE_ROWS rows. A smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > PIECE_ROWS:
-        spark.conf.set(key, str(PIECE_ROWS))

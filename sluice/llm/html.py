@@ -21,11 +21,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import map_columns
 
 MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?:/?[a-zA-Z][^<]*)\Z", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -271,12 +270,10 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    small_batches(pages.sparkSession)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            text = [main_text(h) for h in frame["html"]]
-            yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": pd.Series(text, dtype=object, index=frame.index), "n_chars": pd.Series([len(t) for t in text], dtype="int64", index=frame.index)})
+    def run(parts: Iterator[list[list]]) -> Iterator[list]:
+        for ids, urls, pages in parts:
+            text = [main_text(p) for p in pages]
+            yield [ids, urls, text, [len(t) for t in text]]
 
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return map_columns(rows, run, "page_id long, url string, text string, n_chars long")

@@ -25,12 +25,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import map_columns
 
 SIZE = 4096
 CLOSE = 2
@@ -254,20 +253,15 @@ class Stream:
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """One row per piece; `tokenizer` is the path of the vocabulary file on every machine."""
-    small_batches(docs.sparkSession)
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-        return out.assign(doc_id=out["doc_id"].astype("Int64"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[list[list]]) -> Iterator[list]:
         encode = encoder(tokenizer).encode
         stream = Stream(TaskContext.get().partitionId() << 40, size)
-        for rows in frames:
-            out = []
-            for doc_id, text in zip(rows["doc_id"].astype("Int64"), rows["text"]):
-                out += stream.add(None if pd.isna(doc_id) else int(doc_id), *encode(text or ""))
-            yield frame(out)
-        yield frame(list(stream.pack(True)))
-
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, PIECES)
+        for ids, texts in parts:
+            out = [piece for doc_id, text in zip(ids, texts) for piece in stream.add(doc_id, *encode(text))]
+            if out:
+                yield zip(*out)
+        out = list(stream.pack(True))
+        if out:
+            yield zip(*out)
+
+    return map_columns(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), run, PIECES)

@@ -14,15 +14,13 @@ an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, held_out, labelled_sample, small_batches
+from .common import free_name, held_out, labelled_sample, score_column
 
 PASSAGE = 32
 HIDDEN, GATE = 24, 12
@@ -171,10 +169,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: t
 def scorer(docs: DataFrame, model: Model):
     """A column function text -> score; the model is a few KB."""
 
-    @F.pandas_udf("double")
-    def score(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores():
         encode = Encoder().passages
-        for texts in frames:
+
+        def of(texts: list[str | None]) -> list[float]:
             found, held, rows = [], [], 0
             for t in texts:
                 held.append(encode(t))
@@ -183,21 +181,21 @@ def scorer(docs: DataFrame, model: Model):
                     found.append(model.scores(held))
                     held, rows = [], 0
             found.append(model.scores(held))
-            yield pd.Series(np.concatenate(found))
+            return np.concatenate(found).tolist()
+
+        return of
 
-    return score
+    return score_column(scores)
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
-    small_batches(docs.sparkSession)
     scored = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), scorer(docs, model)(F.col(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """`docs` without the rows that score below `threshold`; all columns are kept."""
-    small_batches(docs.sparkSession)
     name = free_name(docs, "quality")
     out = docs.withColumn(name, scorer(docs, model)(F.col(text_col)))
     return out.where(F.col(name) >= threshold).select(*[out[c] for c in docs.columns])

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, small_batches
+from .common import cut, drop_cut, map_columns
 
 SEED = 42
 #: Blocks of the 64 bits. At radius 4 a bucket is named by 2 of 6 blocks, about 21 bits.
@@ -209,14 +209,11 @@ def _forests(radius: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
-    small_batches(docs.sparkSession)
+    def run(parts: Iterator[list[list]]) -> Iterator[list]:
+        for ids, texts in parts:
+            yield [ids, np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            fp = np.array([fingerprint(t, width) for t in frame["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
-
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return map_columns(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
 
 
 def bucket_links(nodes: DataFrame, radius: int, blocks: int = BLOCKS) -> DataFrame:

@@ -18,15 +18,14 @@ space (joined terms, a script without spaces) counts as several words, see `part
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, held_out, labelled_sample, small_batches
+from .common import free_name, held_out, labelled_sample, score_column
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -290,25 +289,17 @@ def scorer(docs: DataFrame, model: Model):
     """A column function text -> score. The model is 256 KB, whatever the input."""
     shared = docs.sparkSession.sparkContext.broadcast((model.bucket, model.bias))
 
-    @F.pandas_udf("double")
-    def score(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        local = Model(*shared.value)
-        for texts in frames:
-            yield pd.Series(local.scores(texts), dtype="float64")
-
-    return score
+    return score_column(lambda: Model(*shared.value).scores)
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
-    small_batches(docs.sparkSession)
     scored = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), scorer(docs, model)(F.col(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """`docs` without the rows that score as toxic; all columns are kept."""
-    small_batches(docs.sparkSession)
     name = free_name(docs, "toxicity")
     out = docs.withColumn(name, scorer(docs, model)(F.col(text_col)))
     return out.where(F.col(name) < threshold).select(*[out[c] for c in docs.columns])
