@@ -2,25 +2,30 @@
 
 1. Fingerprints: 64 bits, bit i set if more than half of the XXH64 values of the
    document's shingles (repeats included) have it set.
-2. Distinct fingerprints are cut into `BLOCKS` bit blocks. Two that differ in at
-   most `radius` bits agree wholly in at least BLOCKS - radius blocks, so each is
-   entered under every choice of that many blocks and every link meets in some
-   bucket. Buckets with one member are dropped by a join on counts; buckets with more
-   than `CHUNK` members are dealt into chunks and every pair of chunks is a task of
-   its own, so no task holds more than 2 * CHUNK members and no link is lost.
-3. Inside a bucket members are sorted by the rank of their bits in the Gray code
-   order, neighbours of which share most bits. Runs of members become nodes of a
-   tree: a node keeps a mask of the bits that all members below it share (without
-   those its ancestors keep) and their values. A search walks down with the
-   differences added up so far and leaves out a whole group once they exceed
-   `radius`. A bucket's links leave it as a spanning forest.
+2. Distinct fingerprints are cut into radius + k bit blocks. Two that differ in at
+   most `radius` bits agree wholly in at least k blocks, so each is entered under every
+   choice of k blocks and every link meets in some bucket. k grows with the number of
+   fingerprints, so that a bucket of evenly spread ones holds about BUCKET.
+3. A bucket is searched by a Gray-order index: members are sorted by the rank of their bits
+   in the Gray code order, neighbours of which share most bits. Runs of members become nodes
+   of a tree: a node keeps a mask of the bits that all members below it share (without
+   those its ancestors keep) and their values. A search walks down with the differences
+   added up so far and leaves out a whole group once they exceed `radius`. A bucket's
+   links leave it as a spanning forest.
+   A bucket of more than CHUNK members is dealt into chunks, and every pair of chunks is a
+   group of its own. The members of one of more than MOST_CHUNKS chunks are linked by the words
+   within half the radius of them (in the bits that the bucket leaves open): two
+   differ in at most `radius` bits just if some word is within half of it (rounded
+   down) of one and half of it (rounded up) of the other. So the rows per member stay below a
+   constant however large a bucket gets, and no link is lost.
 4. Components over all forests by alternating star contraction, each round
    written to the shared folder.
 
 Defined cases: no words (null, empty, blank): fingerprint 0, linked as any other. A
 null doc_id keeps its fingerprint, takes no part in linking and has a null
 component. Rows of the same doc_id are one node. Ties in the majority clear the bit.
-An empty table gives an empty result. Other columns are not read.
+Texts of any length are hashed whole, in steps. An empty table gives an empty result.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,12 +42,14 @@ from pyspark.sql import functions as F
 from .common import cut, drop_cut, map_columns
 
 SEED = 42
-#: Blocks of the 64 bits. At radius 4 a bucket is named by 2 of 6 blocks, about 21 bits.
-BLOCKS = 6
+#: Members of a bucket that evenly spread fingerprints give, at most.
+BUCKET = 256
 #: Members of a bucket that one task takes at most, twice that for a pair of chunks.
 CHUNK = 1024
+#: Chunks of a bucket at most; the members of larger ones are linked by words near them.
+MOST_CHUNKS = 256
 #: Children of an index node.
-FANOUT = 8
+FANOUT = 4
 #: Shingles hashed at a time.
 STEP = 1 << 15
 #: Pairs of searcher and node looked at in one step of a search.
@@ -90,10 +97,13 @@ class GrayIndex:
     """The hierarchical index over members sorted by (group, Gray rank).
 
     Levels go from the members upward; level k + 1 joins up to FANOUT consecutive
-    nodes of the same group, until a group has one node.
+    nodes of the same group, until a group has one node, or until hardly any node
+    shares more than `radius` bits, as such nodes cannot be left out.
     """
 
-    def __init__(self, codes: np.ndarray, group: np.ndarray):
+    def __init__(self, codes: np.ndarray, group: np.ndarray, radius: int = 0):
+        #: members below the nodes that a search came to, and of those the ones it left out in a group
+        self.met = self.pruned = 0
         self.order = np.lexsort((gray_rank(codes), group))
         codes, group = codes[self.order], group[self.order]
         ones = np.full(len(codes), ~np.uint64(0))
@@ -109,9 +119,15 @@ class GrayIndex:
             all_and = np.bitwise_and.reduceat(pattern, first)
             all_or = np.bitwise_or.reduceat(pattern, first)
             shared = np.bitwise_and.reduceat(mask, first) & ~(all_and ^ all_or)
+            if len(self.levels) > 1 and 8 * (np.bitwise_count(shared) > radius).sum() < len(shared):
+                break
             self.levels.append((shared, all_and & shared, first, last))
             group = group[first]
         self.top_group = group
+        self.below = [np.ones(len(codes), np.int64)]
+        for _, _, first, last in self.levels[1:]:
+            total = np.r_[0, np.cumsum(self.below[-1])]
+            self.below.append(total[last] - total[first])
         # what a parent already compares is taken out of its children
         for k in range(len(self.levels) - 1, 0, -1):
             shared, _, first, last = self.levels[k]
@@ -133,8 +149,16 @@ class GrayIndex:
 
     def links(self, codes: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of (searcher, member) positions with at most `radius` differing bits."""
-        top = np.searchsorted(self.top_group, group)
-        todo = [(len(self.levels) - 1, np.arange(len(codes)), top, np.zeros(len(codes), np.uint8))]
+        left, right = (np.searchsorted(self.top_group, group, side) for side in ("left", "right"))
+        step = max(1, FRONT // int((right - left).max(initial=1)))
+        for at in range(0, len(codes), step):  # a bounded number of starts at a time
+            many = right[at : at + step] - left[at : at + step]
+            inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            who = np.repeat(np.arange(at, at + len(many)), many)
+            yield from self._walk(codes, who, left[who] + inside, radius)
+
+    def _walk(self, codes: np.ndarray, who: np.ndarray, top: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        todo = [(len(self.levels) - 1, who, top, np.zeros(len(who), np.uint8))]
         while todo:
             k, who, node, diff = todo.pop()
             if len(who) > FRONT:
@@ -144,6 +168,10 @@ class GrayIndex:
             mask, pattern, first, last = self.levels[k]
             diff = diff + np.bitwise_count((codes[who] ^ pattern[node]) & mask[node])
             stay = diff <= radius
+            if k == len(self.levels) - 1:
+                self.met += int(self.below[k][node].sum())
+            if k:
+                self.pruned += int(self.below[k][node[~stay]].sum())
             who, node, diff = who[stay], node[stay], diff[stay]
             if not len(who):
                 continue
@@ -175,7 +203,7 @@ def forest(frame: pd.DataFrame, radius: int) -> pd.DataFrame:
     """A spanning forest of the links inside each group of (group, fp, node)."""
     codes = frame["fp"].to_numpy(np.int64).view(np.uint64)
     group = np.unique(frame["group"].to_numpy(), return_inverse=True)[1]
-    root = join_roots(len(codes), GrayIndex(codes, group).links(codes, group, radius))
+    root = join_roots(len(codes), GrayIndex(codes, group, radius).links(codes, group, radius))
     node = frame["node"].to_numpy(np.int64)
     a, b = node, node[root]
     apart = a != b
@@ -209,6 +237,7 @@ def _forests(radius: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+
     def run(parts: Iterator[list[list]]) -> Iterator[list]:
         for ids, texts in parts:
             yield [ids, np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)]
@@ -216,24 +245,84 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_columns(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
 
 
-def bucket_links(nodes: DataFrame, radius: int, blocks: int = BLOCKS) -> DataFrame:
+def choose_blocks(n: int, radius: int) -> int:
+    """How many blocks two of n fingerprints must agree in to be compared: the fewest
+    that leave at most BUCKET evenly spread ones in a bucket."""
+    k = 1
+    while n >> (64 * k // (radius + k)) > BUCKET and k < 64 - radius:
+        k += 1
+    return k
+
+
+def block_masks(radius: int, k: int) -> list[int]:
+    """The bits of each choice of k of radius + k blocks."""
+    cuts = [64 * i // (radius + k) for i in range(radius + k + 1)]
+    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
+    return [sum(c) for c in combinations(masks, k)]
+
+
+def within(mask: int, radius: int) -> list[int]:
+    """All changes of at most `radius` bits outside of `mask`."""
+    bits = [1 << i for i in range(64) if not mask >> i & 1]
+    return [sum(c) for n in range(radius + 1) for c in combinations(bits, n)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def bucket_links(nodes: DataFrame, radius: int, k: int | None = None) -> DataFrame:
     """(a, b): forests of the links between the fingerprints of `nodes` (fp, node)."""
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(blocks)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    choices = [signed(sum(masks[i] for i in c)) for c in combinations(range(blocks), blocks - radius)]
-    entry = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for k, m in enumerate(choices)])
+    masks = block_masks(radius, k or choose_blocks(nodes.count(), radius))
+    entry = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)])
     entries = nodes.select("fp", "node", F.explode(entry).alias("e")).select("fp", "node", "e.t", "e.k")
-    many = entries.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    many = cut(many, "buckets")  # read anew, so that the join below may split a hot bucket
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    hot = entries.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    hot = cut(hot, "hot")  # at most a row per CHUNK entries; read anew, so that the joins below may split a hot bucket
+    if hot.isEmpty():
+        return _searched(entries.select(F.xxhash64("t", "k").alias("group"), "fp", "node"), radius)
+    by_chunks, by_words = hot.where(F.col("n") <= CHUNK * MOST_CHUNKS), hot.where(F.col("n") > CHUNK * MOST_CHUNKS)
+    chunks = F.ceil(F.coalesce("n", F.lit(1)) / CHUNK).cast("int")
     mine = F.pmod(F.xxhash64("fp"), chunks).cast("int")
-    entries = entries.join(many, ["t", "k"]).select("fp", "node", "t", "k", chunks.alias("g"), mine.alias("c"))
+    dealt = entries.join(by_words, ["t", "k"], "left_anti").join(by_chunks, ["t", "k"], "left")
+    dealt = dealt.select("fp", "node", "t", "k", chunks.alias("g"), mine.alias("c"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.least(j, F.col("c")) * F.col("g") + F.greatest(j, F.col("c"))))
-    dealt = entries.select("fp", "node", "t", "k", pair.alias("p")).select(F.xxhash64("t", "k", "p").alias("group"), "fp", "node")
+    dealt = dealt.select("fp", "node", "t", "k", pair.alias("p")).select(F.xxhash64("t", "k", "p").alias("group"), "fp", "node")
+    links = _searched(dealt, radius)
+    if by_words.isEmpty():
+        return links
+    return links.unionAll(word_links(entries.join(by_words, ["t", "k"], "left_semi"), masks, radius))
+
+
+def _searched(members: DataFrame, radius: int) -> DataFrame:
     # two buckets of one hash would only be searched together; a link is checked on all bits
-    dealt = dealt.repartition("group").sortWithinPartitions("group")
-    return dealt.mapInPandas(_forests(radius), "a long, b long")
+    return members.repartition("group").sortWithinPartitions("group").mapInPandas(_forests(radius), "a long, b long")
+
+
+def word_links(entries: DataFrame, masks: list[int], radius: int) -> DataFrame:
+    """(a, b) that connect the members of each bucket of `entries` (fp, node, t, k) wherever two
+    differ in at most `radius` bits: each is tied to the smallest member near a word that it is near to.
+
+    Near is `radius // 2` bits for one side and the rest for the other. Minima are
+    combined before the shuffle, and rows per member don't depend on the bucket's size.
+    """
+    near, far = radius // 2, radius - radius // 2
+
+    def around(table: DataFrame, r: int) -> DataFrame:
+        out = None
+        for t, m in enumerate(masks):
+            changes = F.array(*[F.lit(_signed(c)) for c in within(m, r)])
+            part = table.where(F.col("t") == t).select("node", "t", F.explode(F.transform(changes, lambda c: c.bitwiseXOR(F.col("fp")))).alias("w"))
+            out = part if out is None else out.unionAll(part)
+        return out
+
+    least = around(entries, near).groupBy("t", "w").agg(F.min("node").alias("b"))
+    # all that are near one word by half the radius are linked with each other if the radius is even
+    tied = around(entries, far).join(cut(least, "words"), ["t", "w"]).where("node <> b").select(F.col("node").alias("a"), "b")
+    if near == far:
+        return tied.distinct()
+    # an odd radius: each of the nearer ones, and not only the smallest, must be tied to the word's others
+    most = around(entries, far).groupBy("t", "w").agg(F.min("node").alias("b"))
+    return tied.unionAll(around(entries, near).join(cut(most, "words"), ["t", "w"]).where("node <> b").select(F.col("node").alias("a"), "b")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -304,17 +393,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
     """`docs` with one row of each group of near duplicates: that of the smallest
-    id. Rows without an id stay. All columns are kept. The ids are as many as the
-    documents, so they are joined by sorting and never broadcast: the texts are
-    shuffled once at every size."""
-    found = cut(near_duplicates(docs, id_col, text_col, radius).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    once = found.where("n = 1").select(F.col("doc_id").alias("kept_id"))
-    again = found.where("n > 1").select(F.col("doc_id").alias("kept_id"))
-    out = docs.join(once.hint("merge"), docs[id_col] == F.col("kept_id"), "left_semi")
-    out = out.unionAll(docs.where(docs[id_col].isNull()))
-    if not again.isEmpty():
-        more = docs.join(again, docs[id_col] == F.col("kept_id"), "left_semi")
-        out = out.unionAll(more.dropDuplicates([id_col]))
-    return out
+    id; of rows that share an id and are no others' copies, one stays. Rows without an id
+    stay. All columns are kept.
+
+    Only the ids that go are joined to the texts. They are a share of the documents, so their
+    size has no bound and they are not broadcast: the texts are shuffled once at every size.
+    """
+    ids = near_duplicates(docs, id_col, text_col, radius, width).where("doc_id is not null")
+    found = cut(ids.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")).where("c <> doc_id or n > 1"), "leaving")
+    gone, again = found.where("c <> doc_id"), found.where("c = doc_id")
+    out = docs.join(gone.select(F.col("doc_id").alias("gone_id")).hint("merge"), docs[id_col] == F.col("gone_id"), "left_anti")
+    if again.isEmpty():
+        return out
+    many = again.select(F.col("doc_id").alias("gone_id"))
+    once = out.join(many, out[id_col] == F.col("gone_id"), "left_anti")
+    return once.unionAll(out.join(many, out[id_col] == F.col("gone_id"), "left_semi").dropDuplicates([id_col]))

@@ -70,14 +70,83 @@ def test_index_finds_every_link():
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     codes = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) for _ in range(30)]))
     group = rng.integers(0, 3, len(codes))
-    for radius in (0, 2, 4):
+    for radius, front in ((0, 1 << 20), (2, 1 << 20), (4, 1 << 20), (4, 100)):
         got = set()
-        for a, b in simhash.GrayIndex(codes, group).links(codes, group, radius):
+        simhash.FRONT, usual = front, simhash.FRONT
+        for a, b in simhash.GrayIndex(codes, group, radius).links(codes, group, radius):
             got |= set(zip(a.tolist(), b.tolist()))
+        simhash.FRONT = usual
         want = {(a, b) for a in range(len(codes)) for b in range(len(codes)) if group[a] == group[b] and np.bitwise_count(codes[a] ^ codes[b]) <= radius}
         assert got == want
 
 
+def test_index_leaves_out_groups():
+    codes = np.unique(np.random.default_rng(1).integers(0, 2**63, 4096, dtype=np.uint64))
+    group = np.zeros(len(codes), int)
+    index = simhash.GrayIndex(codes, group, 4)
+    assert len(list(index.links(codes, group, 4))) > 0
+    assert index.met == len(codes) ** 2
+    assert index.pruned > 0.75 * index.met  # never compared one by one
+
+
+def test_blocks_grow_with_the_table():
+    assert [simhash.choose_blocks(n, 4) for n in (1, 10**5, 10**7, 10**9, 10**10)] == [1, 1, 2, 3, 3]
+    for n in (10**3, 10**6, 10**8, 10**10):
+        k = simhash.choose_blocks(n, 4)
+        assert n / 2 ** (64 * k // (4 + k)) <= simhash.BUCKET
+    masks = simhash.block_masks(4, 3)
+    assert len(masks) == 35
+    rng = random.Random(1)
+    for _ in range(500):  # four differing bits leave some choice untouched
+        differ = sum(1 << b for b in rng.sample(range(64), 4))
+        assert any(m & differ == 0 for m in masks)
+
+
+def spread(edges, nodes):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("radius", [1, 3, 4])
+def test_hot_bucket_by_words(spark, monkeypatch, radius):
+    """Members of one bucket, linked by pairs of chunks and by words near them, against brute force."""
+    rng = random.Random(radius)
+    fps = {rng.randrange(1 << 20) & 0x3FF | rng.randrange(4) << 60 for _ in range(150)}
+    fps |= {0xF0F0 ^ sum(1 << b for b in rng.sample(range(16), 3)) for _ in range(100)}
+    fps = sorted(fps)
+    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, k) for k, f in enumerate(fps)], "fp long, node long")
+    want = spread([(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= radius], range(len(fps)))
+    monkeypatch.setattr(simhash, "within", lambda mask, r, of=simhash.within: [c for c in of(mask, r) if c < 1 << 22 or c >> 58])  # bits that differ here, to save time
+    for chunk, most in ((1024, 256), (16, 256), (16, 2), (8, 0)):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        monkeypatch.setattr(simhash, "MOST_CHUNKS", most)
+        assert spread([tuple(r) for r in simhash.bucket_links(nodes, radius).collect()], range(len(fps))) == want
+
+
+def test_hot_bucket_rows_are_linear(spark, monkeypatch):
+    """Rows per member of one bucket don't grow with it once it has MOST_CHUNKS chunks."""
+    monkeypatch.setattr(simhash, "CHUNK", 4)
+    monkeypatch.setattr(simhash, "MOST_CHUNKS", 8)
+    mask = simhash.block_masks(4, 1)[0]
+    per_member = []
+    for n in (500, 5000):
+        entries = spark.range(n).selectExpr("id << 20 as fp", "id as node", "0 as t", "0L as k")
+        made = simhash.word_links(entries, [mask], 4)
+        per_member.append(made.count() / n)
+    open_bits = 64 - mask.bit_count()
+    assert len(simhash.within(mask, 2)) == 1 + open_bits + open_bits * (open_bits - 1) // 2 < 1400
+    assert per_member[1] <= len(simhash.within(mask, 2))
+
+
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CHUNK", 8)  # large buckets are dealt into pairs of chunks
     rng = random.Random(2)
