@@ -317,6 +317,10 @@ def test_top_k(spark, monkeypatch):
     df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").withColumn("score", F.lit(1)).withColumn("x_block", F.lit(1))
     got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 100 = 0"), 10).collect())
     assert got == brute_top(vectors, {i for i, _ in vectors if i is not None and i % 100 == 0}, 10)
+    # repeated queries ask once, repeated rows of another id are answers each
+    twice = df.where("vec_id in (100, 101, 7)")
+    got = sorted(tuple(r) for r in topk.top_k(twice.unionAll(twice).unionAll(twice), twice.unionAll(twice).where("vec_id = 100"), 10).collect())
+    assert got == sorted(set(brute_top([v for v in vectors if v[0] in (100, 101, 7)] * 3, {100}, 10))) and len(got) == 6
     few = df.where("vec_id < 4")
     assert topk.top_k(few, few.where("vec_id = 0"), 10).count() == 3
     assert topk.top_k(df, df.limit(0), 10).count() == 0
@@ -325,7 +329,7 @@ def test_top_k(spark, monkeypatch):
 def test_top_k_large_numbers(spark):
     vectors = [(i, [1e18 * (i + 1), 3.0]) for i in range(5)]
     small = [(i, [2.0**22 * (i + 1) + 0.5, -(2.0**21) * i]) for i in range(5)]
-    got = topk.search_block(np.array([small[0][1]]), np.array([0]), np.array([v for _, v in small]), np.arange(5), 3)
+    got, _ = topk.search_block(np.array([small[0][1]]), np.array([0]), np.array([v for _, v in small]), np.arange(5), 3)
     want = sorted(((-int(v[0] // 1) * int(small[0][1][0]) + 0, i) for i, v in small if i))[:3]
     assert [i for _, i, _ in got] == [i for _, i in want]
     df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
@@ -333,6 +337,26 @@ def test_top_k_large_numbers(spark):
     assert [r.score for r in rows] == [2**63 - 1] * 2 and [r.vec_id for r in rows] == [1, 2]
 
 
+def test_pivots_eliminate():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 64)) * 900
+    x = np.floor(np.repeat(centres, 200, axis=0) + rng.normal(size=(4000, 64)) * 60)
+    q, ids = x[::40], np.arange(4000)
+    scores = q @ x.T
+    scores[np.arange(len(q)), ids[::40]] = -np.inf
+    want = [(i, j, int(scores[r, j])) for r, i in enumerate(ids[::40]) for j in np.lexsort((ids, -scores[r]))[:10]]
+    for pivots, most in ((48, 0.15), (24, 0.25), (2, 1)):
+        found, evaluated = topk.search_block(q, ids[::40], x, ids, 10, pivots)
+        assert found == want
+        assert evaluated < most * len(q) * len(x)
+    floor = np.array([float(np.sort(scores[r])[-10]) for r in range(len(q))])
+    found, fewer = topk.search_block(q, ids[::40], x, ids, 10, 24, floor)
+    assert found == want and fewer <= topk.search_block(q, ids[::40], x, ids, 10, 24)[1]
+    # bounds hold for parallel, zero and equal vectors
+    odd = np.array([[3.0, 4, 0], [6, 8, 0], [0, 0, 0], [3, 4, 0], [-3, -4, 1], [0, 0, 5]])
+    assert (topk.PivotTable(odd, 2).bounds(odd) >= odd @ odd.T).all()
+
+
 def test_cuts_are_released(spark):
     import os
 
