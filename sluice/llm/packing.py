@@ -13,7 +13,8 @@ scan gives its rows in the same order. `sequence_id` holds the partition in its
 upper bits. Memory holds about BLOCK tokens and one document.
 
 Defined cases: a null or empty text is the closing id alone; a null doc_id stays null;
-repeated rows are packed each; texts of any length are cut into as many pieces as they need; an
+repeated rows are packed each; texts of any length are cut into as many pieces as they need; of
+equally good cuts the earliest is taken; `size` is 1 or more, and places are never farther apart than it; an
 empty table gives an empty result; other columns are not read.
 """
 
@@ -144,17 +145,18 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def places(ends: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where a document of `total` tokens may be cut, and each cut's penalty; the last is its end."""
+def places(ends: np.ndarray, total: int, most: int = MOST_ITEM) -> tuple[np.ndarray, np.ndarray]:
+    """Where a document of `total` tokens may be cut, and each cut's penalty; the last is its end.
+    No two are more than `most` tokens apart."""
     every = np.empty(len(ends) + 1, np.int64)
     every[:-1], every[-1] = ends, total  # the closing id is behind the last sentence
     ends = every
     gaps = np.diff(ends, prepend=0)
-    if gaps.max() <= MOST_ITEM:
+    if gaps.max() <= most:
         cost = np.full(len(ends), IN_DOCUMENT)
         cost[-1] = 0
         return ends, cost
-    more = [np.arange(e - g + MOST_ITEM, e, MOST_ITEM) for e, g in zip(ends, gaps) if g > MOST_ITEM]
+    more = [np.arange(e - g + most, e, most) for e, g in zip(ends, gaps) if g > most]
     inside = np.concatenate(more)
     every = np.r_[ends, inside]
     cost = np.r_[np.full(len(ends) - 1, IN_DOCUMENT), 0, np.full(len(inside), IN_SENTENCE)]
@@ -202,6 +204,8 @@ class Stream:
     """The packing of one partition."""
 
     def __init__(self, first_sequence: int, size: int):
+        if size < 1:
+            raise ValueError(f"a sequence has 1 token or more, not {size}")
         self.size, self.sequence = size, first_sequence
         # (doc_id, ids, tokens already packed, all tokens, places, penalties)
         self.open: list[tuple] = []
@@ -210,7 +214,7 @@ class Stream:
     def add(self, doc_id, ids: bytes, ends: np.ndarray) -> Iterator[tuple]:
         ids += CLOSE.to_bytes(4, "little")
         total = len(ids) // 4
-        self.open.append((doc_id, ids, 0, total, *places(ends, total)))
+        self.open.append((doc_id, ids, 0, total, *places(ends, total, min(MOST_ITEM, self.size))))
         self.tokens += total
         if self.tokens >= BLOCK:
             yield from self.pack(False)
