@@ -11,8 +11,9 @@ documents are counted by a plain sum that combines before the shuffle; a line or
 third of all rows is split by the engine's skew join, as the other side has one row.
 
 Defined cases: null and blank texts have no words and fail the base; a null host is a host
-of its own; a null doc_id stays null; repeated rows count and are answered each; an empty
-table gives an empty result; other columns are not read.
+of its own; a null doc_id stays null; repeated rows count and are answered each; a line in just
+`limit_docs` documents stays, as does a text that loses just the share `depleted`; texts of any length are
+read whole, as one row; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, free_name
 
-#: A line is common in more documents of a host than either of these.
+#: A line is common in more documents of a host than this, however large the host is.
 LIMIT_DOCS = 10
-LIMIT_SHARE = 0.001
 #: Share of a document's words in common lines above which it is rejected.
 DEPLETED = 0.7
 
@@ -81,15 +81,13 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     )
 
 
-def judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, limit_docs: int, limit_share: float, depleted: float) -> tuple[DataFrame, DataFrame]:
+def judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, limit_docs: int, depleted: float) -> tuple[DataFrame, DataFrame]:
     """(figures and verdict of every row, the common lines of each row as (row, key, h, n))."""
     rows = cut(measured(docs, id_col, text_col, host_col), "measured")
     host = F.coalesce(F.concat(F.lit("h"), F.col("host")), F.lit("n"))
     lines = rows.select("row", "key", host.alias("k"), F.explode("lines").alias("l")).select("row", "key", "k", "l.h", "l.n")
     once = rows.select(host.alias("k"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    found = once.groupBy("k", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > limit_docs)
-    hosts = rows.groupBy(host.alias("k")).agg(F.count("*").alias("host_docs"))
-    common = found.join(hosts, "k").where(F.col("docs") > F.col("host_docs") * limit_share).select("k", "h")
+    common = once.groupBy("k", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > limit_docs).select("k", "h")
     common = cut(common, "common")  # read anew, so that a hot line's join can be split
     removed = lines.join(common, ["k", "h"])
     lost = removed.groupBy("row").agg(F.sum("n").cast("bigint").alias("common_words"))
@@ -99,15 +97,15 @@ def judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, limit_doc
     return out.withColumn("base_failed", base).withColumn("kept", kept), removed
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE, depleted: float = DEPLETED) -> DataFrame:
-    """The base figures, `base_failed`, `common_words` (in lines above the limits) and `kept` of every row."""
-    found, _ = judged(docs, id_col, text_col, host_col, limit_docs, limit_share, depleted)
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_docs: int = LIMIT_DOCS, depleted: float = DEPLETED) -> DataFrame:
+    """The base figures, `base_failed`, `common_words` (in lines above the limit) and `kept` of every row."""
+    found, _ = judged(docs, id_col, text_col, host_col, limit_docs, depleted)
     return found.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "common_words", "base_failed", "kept")
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE, depleted: float = DEPLETED) -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_docs: int = LIMIT_DOCS, depleted: float = DEPLETED) -> DataFrame:
     """The rows of `docs` that are kept, their texts without the common lines; all columns stay."""
-    found, removed = judged(docs, id_col, text_col, host_col, limit_docs, limit_share, depleted)
+    found, removed = judged(docs, id_col, text_col, host_col, limit_docs, depleted)
     of, gone = free_name(docs, "rule_key"), free_name(docs, "rule_lines")
     lines = removed.groupBy("key").agg(F.collect_set("h").alias("gone"))  # at most a row's own lines
     keys = found.where("kept").select("key").distinct().join(lines, "key", "left")

@@ -103,10 +103,7 @@ l AS (
   FROM (SELECT r, source, regexp_extract_all(unnest(ln), '[^\\x20\\x09-\\x0D]+') AS w FROM m)),
 f AS (
   SELECT source, line, count(DISTINCT r) AS docs FROM l GROUP BY source, line),
-h AS (SELECT source, count(*) AS host_docs FROM d GROUP BY source),
-g AS (
-  SELECT f.source, f.line FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source
-  WHERE docs > 10 AND docs > host_docs * 0.001::DOUBLE),
+g AS (SELECT source, line FROM f WHERE docs > 10),
 k AS (
   SELECT r, sum(n) AS lost FROM l JOIN g ON l.source IS NOT DISTINCT FROM g.source AND l.line = g.line GROUP BY r),
 o AS (

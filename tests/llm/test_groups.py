@@ -190,13 +190,13 @@ def test_components_of_a_long_chain(spark):
 # --- quality rules ---
 
 
-def brute_rules(texts, hosts, limit_docs=10, limit_share=0.001, depleted=0.7):
+def brute_rules(texts, hosts, limit_docs=10, depleted=0.7):
     def words(s):
         return [w for w in s.translate({k: " " for k in range(9, 14)}).split(" ") if w]
 
     lines = [[x for x in (t or "").split("\n") if words(x)] for t in texts]
     norm = [[" ".join(words(x)).lower() for x in part] for part in lines]
-    seen, size = Counter(), Counter(hosts)
+    seen = Counter()
     for h, part in zip(hosts, norm):
         seen.update((h, x) for x in set(part))
     out = []
@@ -205,7 +205,7 @@ def brute_rules(texts, hosts, limit_docs=10, limit_share=0.001, depleted=0.7):
         grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
         count = Counter(grams)
         repeat = {j for i, g in enumerate(grams) if count[g] > 1 for j in (i, i + 1, i + 2)}
-        lost = sum(len(x.split(" ")) for x in part if seen[h, x] > limit_docs and seen[h, x] > size[h] * limit_share)
+        lost = sum(len(x.split(" ")) for x in part if seen[h, x] > limit_docs)
         base = len(w) < 50 or 100 * len(repeat) > 50 * len(w)
         out.append((len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(raw) - len(set(raw)), len(repeat), base, not base and lost <= len(w) * depleted))
     return out
@@ -242,6 +242,17 @@ def test_quality_rules(spark):
     assert quality_rules.quality(df.limit(0)).count() == 0
 
 
+def test_line_limit_does_not_loosen_in_a_large_host(spark):
+    """The same line in the same documents of a host with 10 and with 12,000 more documents."""
+    body = [f"Shared line number {k} of this host, which says the same in all of these documents." for k in range(5)]
+    rows = [(k, "\n".join(body), "en", "h", 0) for k in range(12)] + [(100 + k, f"own words {k} " * 40, "en", "h", 0) for k in range(10)]
+    small = spark.createDataFrame(rows, DOCS)
+    more = spark.range(1000, 13000).selectExpr("id AS doc_id", "repeat(concat('line ', id, ' '), 30) AS text", "'en' AS lang", "'h' AS source", "0L AS n_chars")
+    for df in (small, small.unionAll(more)):
+        kept = {r.doc_id for r in quality_rules.quality(df).where("kept").collect()}
+        assert not kept & set(range(12))
+
+
 def test_quality_rules_are_native(spark):
     plan = quality_rules.quality(docs(spark, ["a b c"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
