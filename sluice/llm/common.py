@@ -48,7 +48,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/sluice-{name}-{uuid.uuid4().hex}"
     _CUTS.add(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -58,10 +60,9 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a cut() that nothing reads any more."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        for path in [p for p in _CUTS if p.rsplit("/", 1)[1] == folder.rsplit("/", 1)[1]]:
-            _delete(df.sparkSession, path)
-            _CUTS.discard(path)
+    if df.cut_path in _CUTS:
+        _delete(df.sparkSession, df.cut_path)
+        _CUTS.discard(df.cut_path)
 
 
 def release(spark: SparkSession, before: set[str] | None = None) -> None:

@@ -6,8 +6,9 @@ the fraction of the rate as probability, drawn from a seeded hash.
 
 Defined cases: a null text has size 0 and is taken for nothing; a null source is a
 source of its own and the last in order; a null doc_id draws like the text "null";
-repeated rows draw alike; an empty table gives an empty result; other columns of the
-input are neither read nor can they clash. All arithmetic before the shares is in
+repeated rows draw alike; a draw equal to the fraction takes no copy, and of equally near
+trials the first is taken; texts of any length are counted whole, as one row; an empty table gives an
+empty result; other columns of the input are neither read nor can they clash. All arithmetic before the shares is in
 whole numbers, so reruns and other partitionings agree.
 """
 
@@ -42,7 +43,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     full if all ceilings up to it plus its level on all other weights stay within
     the whole. What is left goes to the others by weight. That is the fixed point
     of resharing excess, without a loop. The windows run over one pre-aggregated
-    row per source.
+    row per source, in one task: sources are meant to be collections, up to some millions,
+    and not single pages.
     """
     per = sizes.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"))
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1

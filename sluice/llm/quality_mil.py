@@ -8,8 +8,9 @@ document labels alone, in numpy by Adam. Every passage of the whole text takes p
 
 Defined cases: null and blank texts are one empty passage and get a score; without
 labels of both classes every score is 1, so that nothing is rejected; texts of any length
-are scored whole, their words in steps; repeated rows score alike; an empty table gives
-an empty result.
+are scored whole, their words in steps; a score equal to the threshold is kept; repeated rows score alike;
+a null doc_id stays null and is not held out; an empty table gives an empty result; columns of any other name
+are kept by `keep_good` and not read by `classify`.
 """
 
 from __future__ import annotations
@@ -123,6 +124,22 @@ class Model:
         return self.forward(x, np.repeat(np.arange(len(sizes)), sizes), first)[-1].astype(float)
 
 
+def gradients(model: Model, x: np.ndarray, bag: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The weighted log loss of documents, and its gradient by each of the model's weights."""
+    wh, bh, v, u, w, wo, bo = model.weights
+    h, tv, su, a, z, p = model.forward(x, bag, first)
+    loss = -(weight * np.log(np.where(y == 1, p, 1 - p))).sum()
+    d = ((p - y) * weight).astype(x.dtype)
+    dz = d[:, None] * wo
+    da = (dz[bag] * h).sum(1)
+    dl = a * (da - np.add.reduceat(a * da, first)[bag])
+    gate = dl[:, None] * w
+    dv, du = gate * su * (1 - tv * tv), gate * tv * su * (1 - su)
+    dh = a[:, None] * dz[bag] + dv @ v.T + du @ u.T
+    dx = dh * (1 - h * h)
+    return float(loss), [x.T @ dx, dx.sum(0), h.T @ dv, h.T @ du, (tv * su).T @ dl, z.T @ d, d.sum(keepdims=True)]
+
+
 def train(sample: list[tuple[str, int]], epochs: int = 250, rate: float = 0.02, decay: float = 1e-4, seed: int = 3) -> Model:
     """A model from (text, label) pairs."""
     y = np.array([label for _, label in sample], np.float32)
@@ -142,17 +159,7 @@ def train(sample: list[tuple[str, int]], epochs: int = 250, rate: float = 0.02,
     m, s = [np.zeros_like(p) for p in weights], [np.zeros_like(p) for p in weights]
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     for epoch in range(1, epochs + 1):
-        wh, bh, v, u, w, wo, bo = weights
-        h, tv, su, a, z, p = model.forward(x, bag, first)
-        d = ((p - y) * weight).astype(np.float32)
-        dz = d[:, None] * wo
-        da = (dz[bag] * h).sum(1)
-        dl = a * (da - np.add.reduceat(a * da, first)[bag])
-        gate = dl[:, None] * w
-        dv, du = gate * su * (1 - tv * tv), gate * tv * su * (1 - su)
-        dh = a[:, None] * dz[bag] + dv @ v.T + du @ u.T
-        dx = dh * (1 - h * h)
-        grads = [x.T @ dx, dx.sum(0), h.T @ dv, h.T @ du, (tv * su).T @ dl, z.T @ d, d.sum(keepdims=True)]
+        grads = gradients(model, x, bag, first, y, weight)[1]
         for k, (q, g) in enumerate(zip(weights, grads)):
             g = g + decay * q
             m[k] += 0.1 * (g - m[k])

@@ -10,8 +10,10 @@ misspelling shares most n-grams with what it misspells.
 Scoring is linear in the words, so a word's share is computed once and remembered.
 
 Defined cases: a text without words scores as the bias alone; null counts as empty; without labels
-of both classes every score is 0; texts of any length are scored whole; repeated rows score
-alike; an empty table gives an empty result. A run of more than LONGEST characters without white
+of both classes every score is 0; texts of any length are scored whole; a score equal to the threshold is
+toxic; of equally toxic passages the first teaches; repeated rows score alike; a null doc_id stays null
+and is not held out; an empty table gives an empty result; columns of any other name are kept by
+`keep_clean` and not read by `classify`. A run of more than LONGEST characters without white
 space (joined terms, a script without spaces) counts as several words, see `parts_of`.
 """
 
@@ -210,6 +212,22 @@ class Bags:
         return out
 
 
+def gradients(e: np.ndarray, w: np.ndarray, b: np.ndarray, bags: Bags, words: np.ndarray, doc: np.ndarray, size: np.ndarray, classes: np.ndarray, weight: np.ndarray) -> tuple:
+    """The weighted log loss of documents, and its gradients by embeddings, softmax and bias.
+    The deciding passage of document i has `size[i]` words, those of `words` where `doc` is i."""
+    owner, bucket = bags.of(words)
+    share = (1 / (bags.size[words][owner] * size[doc][owner])).astype(e.dtype)
+    x = np.stack([np.bincount(doc[owner], e[bucket, k] * share, len(size)) for k in range(e.shape[1])], 1).astype(e.dtype)
+    logits = x @ w + b
+    p = np.exp(logits - logits.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    loss = -(weight * classes * np.log(np.maximum(p, 1e-30))).sum()
+    d = (p - classes) * weight
+    gx = (d @ w.T)[doc[owner]] * share[:, None]
+    ge = np.stack([np.bincount(bucket, gx[:, k], len(e)) for k in range(e.shape[1])], 1).astype(e.dtype)
+    return float(loss), ge, x.T @ d, d.sum(0)
+
+
 def train(sample: list[tuple[str, int]], epochs: int = 80, rate: float = 0.1, decay: float = 1e-3, seed: int = 5) -> Model:
     """Embeddings and softmax from (text, label) pairs.
 
@@ -265,18 +283,10 @@ def train(sample: list[tuple[str, int]], epochs: int = 80, rate: float = 0.1, de
         many = stop[rows] - start[rows]
         doc = np.repeat(np.arange(len(rows)), many)
         words = tokens[np.arange(len(doc)) + np.repeat(start[rows] - np.cumsum(many) + many, many)]
-        owner, bucket = bags.of(words)
-        share = (1 / (bags.size[words][owner] * length[rows][doc][owner])).astype(np.float32)
-        x = np.stack([np.bincount(doc[owner], e[bucket, k] * share, len(rows)) for k in range(DIM)], 1).astype(np.float32)
-        logits = x @ w + b
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        d = (p - classes) * weight
-        gx = (d @ w.T)[doc[owner]] * share[:, None]
-        ge = np.stack([np.bincount(bucket, gx[:, k], BUCKETS) for k in range(DIM)], 1).astype(np.float32)
+        _, ge, gw, gb = gradients(e, w, b, bags, words, doc, length[rows], classes, weight)
         ge += decay * e / used.sum()
         ge[~used] = 0
-        adam.step((e, w, b), (ge, x.T @ d, d.sum(0)))
+        adam.step((e, w, b), (ge, gw, gb))
     return Model((e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(b[1] - b[0]))
 
 

@@ -1,0 +1,211 @@
+"""The classifiers against explicit loops and numeric gradients, the shared sample, and small packing sizes."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sluice.llm import common, packing, quality_mil, toxicity
+
+WORDS = "stone river wind meadow cloud harbour wretch Wretch! dim-wit (blockhead) a -- 12.5 été".split()
+
+
+# --- toxicity ---
+
+
+def brute_buckets(word):
+    """Buckets of a word by whole numbers, a character at a time."""
+    marked, low = f"<{word.strip(toxicity.STRIP) or word}>", (1 << 64) - 1
+    hashes = [sum((ord(c) + 1) * pow(int(toxicity.BASE), k + 1, 1 << 64) for k, c in enumerate(marked)) & low]
+    for n in range(toxicity.GRAMS[0], toxicity.GRAMS[1] + 1):
+        for at in range(len(marked) - n + 1):
+            h = ord(marked[at])
+            for c in marked[at + 1 : at + n]:
+                h = h * int(toxicity.PRIME) + ord(c) & low
+            hashes.append(h * (n + 1) & low)
+    return [(h * int(toxicity.MIX) & low) >> 48 for h in hashes]
+
+
+def brute_score(model, text):
+    words = toxicity.words_of(text)
+    if not words:
+        return 1 / (1 + math.exp(-model.bias))
+    value = [float(np.mean([model.bucket[b % toxicity.BUCKETS] for b in brute_buckets(w)])) for w in words]
+    n = toxicity.PASSAGE
+    sums = [sum(value[i : i + n]) / n for i in range(len(words) - n + 1)] or [sum(value) / len(value)]
+    return 1 / (1 + math.exp(-(max(sums) + model.bias)))
+
+
+def test_toxicity_scores():
+    rng = random.Random(3)
+    sample = [(" ".join(rng.choice(WORDS) for _ in range(rng.randrange(0, 30))), k % 2) for k in range(120)]
+    model = toxicity.train(sample, epochs=10)
+    texts = [t for t, _ in sample[:40]] + [None, "", "stone", "a b", "STONE wretch-" + "x" * 60, "été " * 50]
+    assert model.scores(texts) == pytest.approx([brute_score(model, t) for t in texts], abs=1e-6)
+
+
+def test_toxicity_gradients():
+    rng = np.random.default_rng(1)
+    bags = toxicity.Bags(WORDS)
+    e, w, b = rng.normal(size=(toxicity.BUCKETS, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    words, doc, size = np.array([0, 3, 6, 7, 7, 2, 9]), np.array([0, 0, 0, 1, 1, 2, 2]), np.array([3, 2, 2])
+    classes, weight = np.array([[1.0, 0], [0, 1], [0, 1]]), np.array([[0.5], [0.2], [0.3]])
+    loss = lambda: toxicity.gradients(e, w, b, bags, words, doc, size, classes, weight)[0]
+    _, *grads = toxicity.gradients(e, w, b, bags, words, doc, size, classes, weight)
+    used = bags.of(words)[1]
+    places = [(e, grads[0], (int(k), j)) for k in used[::5] for j in range(3)] + [(w, grads[1], (i, j)) for i in range(3) for j in range(2)] + [(b, grads[2], (i,)) for i in range(2)]
+    for value, grad, at in places:
+        usual, step = value[at], 1e-5
+        value[at] = usual + step
+        up = loss()
+        value[at] = usual - step
+        down = loss()
+        value[at] = usual
+        assert grad[at] == pytest.approx((up - down) / (2 * step), abs=1e-7)
+
+
+# --- quality ---
+
+
+def small_model(rng, dtype=float):
+    h, g, n = 5, 4, quality_mil.FEATURES
+    weights = [rng.normal(size=s).astype(dtype) for s in ((n, h), h, (h, g), (h, g), g, h, 1)]
+    return quality_mil.Model(rng.normal(size=n), np.abs(rng.normal(size=n)) + 0.5, weights)
+
+
+def brute_forward(model, passages):
+    """One document, a passage and a unit at a time."""
+    wh, bh, v, u, w, wo, bo = model.weights
+    hidden, logits = [], []
+    for x in passages:
+        x = [(a - m) / s for a, m, s in zip(x, model.mean, model.scale)]
+        h = [math.tanh(sum(x[i] * wh[i, j] for i in range(len(x))) + bh[j]) for j in range(len(bh))]
+        gate = [math.tanh(sum(h[i] * v[i, j] for i in range(len(h)))) / (1 + math.exp(-sum(h[i] * u[i, j] for i in range(len(h))))) for j in range(len(w))]
+        hidden.append(h)
+        logits.append(sum(a * b for a, b in zip(w, gate)))
+    top = [math.exp(a - max(logits)) for a in logits]
+    z = [sum(t * h[j] for t, h in zip(top, hidden)) / sum(top) for j in range(len(bh))]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, wo)) + bo[0])))
+
+
+def test_quality_scores():
+    rng = np.random.default_rng(4)
+    model = small_model(rng)
+    docs = [rng.normal(size=(n, quality_mil.FEATURES)) for n in (1, 4, 2, 9)]
+    assert model.scores(docs) == pytest.approx([brute_forward(model, d) for d in docs], abs=1e-9)
+
+
+def test_quality_gradients():
+    rng = np.random.default_rng(5)
+    model = small_model(rng)
+    sizes = np.array([2, 1, 4])
+    x, bag, first = rng.normal(size=(7, quality_mil.FEATURES)), np.repeat(np.arange(3), sizes), np.array([0, 2, 3])
+    y, weight = np.array([1.0, 0, 1]), np.array([0.3, 0.5, 0.2])
+    _, grads = quality_mil.gradients(model, x, bag, first, y, weight)
+    for value, grad in zip(model.weights, grads):
+        for at in list(np.ndindex(value.shape))[::7]:
+            usual, step = value[at], 1e-6
+            value[at] = usual + step
+            up = quality_mil.gradients(model, x, bag, first, y, weight)[0]
+            value[at] = usual - step
+            down = quality_mil.gradients(model, x, bag, first, y, weight)[0]
+            value[at] = usual
+            assert grad[at] == pytest.approx((up - down) / (2 * step), abs=1e-6)
+
+
+def brute_passages(text):
+    """What the passages look like, word by word."""
+    words = (text or "").split()
+    if not words:
+        return np.zeros((1, quality_mil.FEATURES))
+    out = []
+    for at in range(0, len(words), quality_mil.PASSAGE):
+        part = words[at : at + quality_mil.PASSAGE]
+        mean = np.mean([quality_mil.look(w) for w in part], axis=0)
+        repeats = sum(a == b for a, b in zip(part, part[1:]))
+        out.append([*mean, len(set(part)) / len(part), repeats / len(part), len(part) / quality_mil.PASSAGE, math.log1p(len(words)) / 10, len(set(words)) / len(words)])
+    return np.array(out)
+
+
+def test_quality_passages():
+    rng = random.Random(2)
+    encode = quality_mil.Encoder().passages
+    for n in (0, 1, 31, 32, 33, 500):
+        text = " ".join(rng.choice([*WORDS, "the the", "###", "NO!"]) for _ in range(n))
+        assert encode(text) == pytest.approx(brute_passages(text), abs=1e-5)
+
+
+# --- the sample ---
+
+
+def test_sample_takes_one_pass(spark):
+    """The number of jobs does not depend on the partitions, and both labels come from one pass."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(4000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality", "cast(id % 3 = 0 AS int) AS toxic")
+    wanted = {"quality": (30, 40), "toxic": (20, 10)}
+    found, jobs = [], []
+    tracker = spark.sparkContext.statusTracker()
+    for parts in (2, 40):
+        spark.sparkContext.setJobGroup(f"sample-{parts}", "sample")
+        found.append(common.labelled_samples(docs.repartition(parts), labels, wanted))
+        jobs.append(len(tracker.getJobIdsForGroup(f"sample-{parts}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1] and jobs[0] == jobs[1] < 30
+    assert [sum(y for _, y in found[0][n]) for n in ("quality", "toxic")] == [40, 10]
+    assert [len(found[0][n]) for n in ("quality", "toxic")] == [70, 30]
+    for some in found[0].values():
+        assert not spark.createDataFrame([(int(t.split()[1]),) for t, _ in some], "doc_id long").where(common.held_out(F.col("doc_id"))).count()
+
+
+def test_sample_cases(spark):
+    """Repeated ids take the smallest text and the largest label; nulls and too long texts teach nothing."""
+    ids = [1, 2, 3, 4, 6, 7]
+    docs = spark.createDataFrame([(ids[0], "b"), (ids[0], "a"), (ids[1], None), (ids[2], "x" * 60_000), (None, "n"), (ids[3], "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, v) for i in ids for v in (0, 1)] + [(None, 1), (ids[0], None)], "doc_id long, toxic int")
+    got = common.labelled_sample(docs, labels, "toxic", (10, 10))
+    assert set(got) <= {("a", 1), ("", 1)}
+    assert common.labelled_sample(docs, labels.limit(0), "toxic", (10, 10)) == []
+    assert common.labelled_sample(docs.limit(0), labels, "toxic", (10, 10)) == []
+
+
+def test_shared_folder_is_demanded_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
+# --- packing ---
+
+
+@pytest.mark.parametrize("size", [1, 2, 32, 63, 64, 100])
+def test_small_sequences(monkeypatch, size):
+    monkeypatch.setattr(packing, "BLOCK", 200)
+    rng = random.Random(size)
+    docs = [(k, bytes(4 * n), np.array(sorted(rng.sample(range(1, n + 1), min(n, e))), np.int64)) for k, (n, e) in enumerate([(500, 0), (0, 0), (130, 5), (64, 64), (1, 1), (300, 20)])]
+    stream, rows = packing.Stream(0, size), []
+    for doc in docs:
+        rows += stream.add(*doc)
+    rows += stream.pack(True)
+    fill = {}
+    for doc, start, length, ids, total, sequence, offset in rows:
+        assert offset == fill.get(sequence, 0) and length > 0
+        fill[sequence] = offset + length
+    assert max(fill.values()) <= size
+    for k, ids, _ in docs:
+        mine = sorted((r[1], r[2]) for r in rows if r[0] == k)
+        assert [s for s, _ in mine] == [0, *np.cumsum([n for _, n in mine])[:-1]] and sum(n for _, n in mine) == len(ids) // 4 + 1
+    with pytest.raises(ValueError):
+        packing.Stream(0, 0)
