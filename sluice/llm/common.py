@@ -53,7 +53,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete_folder(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -61,7 +61,7 @@ def _delete(spark: SparkSession, folder: str) -> None:
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a cut() that nothing reads any more."""
     if df.cut_path in _CUTS:
-        _delete(df.sparkSession, df.cut_path)
+        delete_folder(df.sparkSession, df.cut_path)
         _CUTS.discard(df.cut_path)
 
 
@@ -69,7 +69,7 @@ def release(spark: SparkSession, before: set[str] | None = None) -> None:
     """Delete the cuts of this process, or those made since `before` (of `cuts()`): call
     it when the results that read them were written."""
     for path in _CUTS - (before or set()):
-        _delete(spark, path)
+        delete_folder(spark, path)
         _CUTS.discard(path)
 
 

@@ -388,6 +388,72 @@ def test_pipeline(spark, tmp_path):
     assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, now.collect()), key=str)
 
 
+@pytest.fixture(scope="module")
+def odd_pipeline(spark, tmp_path_factory):
+    """A table of nulls, repeated rows, long texts and clashing columns beside ordinary documents."""
+    path = tmp_path_factory.mktemp("odd")
+    docs, labels = labelled_docs(spark, 300)
+    long = " ".join(f"stone river wind {k}" for k in range(20_000))
+    text = "stone river wind tree light " * 20
+    odd = [(7000, None, "en", "s", 0), (7001, "", "en", None, None), (None, text + "a", None, "s", 0), (None, text + "a", None, "s", 0), (7002, long, "en", "t", 0), (7003, long, "en", "t", 0), (7004, text, "en", "s", 0), (7004, text, "en", "s", 0)]
+    docs = docs.unionAll(spark.createDataFrame(odd, DOCS))
+    for name in ("quality", "toxicity", "fp", "component_id", "rate", "copies", "size", "start", "sequence_id"):
+        docs = docs.withColumn(name, F.lit(f"my {name}"))
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels.write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd_pipeline):
+    import corpus_pipeline
+
+    now = spark.read.parquet(f"{odd_pipeline}/documents.parquet")
+    names, frames = now.columns, {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, odd_pipeline).write.parquet(f"{odd_pipeline}/{k}")
+        now = spark.read.parquet(f"{odd_pipeline}/{k}")
+        frames[name] = now
+        if name != "packing":
+            assert now.columns == names
+            assert not now.where("quality <> 'my quality' or sequence_id <> 'my sequence_id'").count()
+    ids = {name: [r.doc_id for r in df.select("doc_id").collect()] for name, df in frames.items()}
+    assert ids["quality"].count(7002) == ids["quality"].count(7003) == 1  # long texts, all of them read
+    assert ids["toxicity"].count(None) == 2 and ids["toxicity"].count(7004) == 2
+    # toxic words go, whatever else is in the text
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{odd_pipeline}/labels.parquet").collect()}
+    seen = [i for i in ids["quality"] if i in truth]
+    right = sum((i in set(ids["toxicity"])) == (not truth[i]) for i in seen)
+    assert right >= 0.95 * len(seen)
+    # one of the long copies, one row of the repeated id, and both rows without an id
+    assert ids["near_duplicates"].count(7002) == 1 and 7003 not in ids["near_duplicates"]
+    assert ids["near_duplicates"].count(7004) == 1 and ids["near_duplicates"].count(None) == 2
+    # each document as often as the mix says, and each of its tokens once per copy
+    from collections import Counter
+
+    taken = Counter(ids["mixture"])
+    assert set(taken) <= set(ids["near_duplicates"]) and max(taken[i] for i in taken if i is not None) <= 2
+    lengths = {r.doc_id: r for r in frames["packing"].groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()}
+    assert set(lengths) == set(taken) and all(r.n == r.all * taken[i] for i, r in lengths.items())
+
+
+def test_pipeline_cleans_up_and_takes_empty_tables(spark, odd_pipeline, tmp_path):
+    import os
+
+    import corpus_pipeline
+    from sluice.llm import common
+
+    common.release(spark)
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    settings = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None)
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{odd_pipeline}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    left = set(os.listdir(folder)) - before
+    assert not common.cuts() and len(left) == 1 and os.listdir(f"{folder}/{left.pop()}") == ["packing"]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) == settings
+
+
 def test_packing_query(spark, encoder, tmp_path):
     text = "one two, three. " * 2000
     spark.createDataFrame([(5, text, "en", "s", 0)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
