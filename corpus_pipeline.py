@@ -2,7 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of
 `documents`. A stage's result is written as Parquet and read again as the next one's
-input, so every stage starts without lineage and survives lost executors.
+input, so every stage starts without lineage and survives lost executors. Once it is written,
+the stage's input and the operators' intermediate tables are deleted, so the shared folder holds
+two stages at most, and the last one when `run` has ended.
+
+Defined cases: a null or empty text is scored as one empty passage, has the fingerprint zero, is taken
+as often as its source's rate says, and packs into the closing id alone. A null doc_id
+is scored and packed, is no one's copy, and draws like the text "null". A null source is a source of its own.
+Rows that share a doc_id count as one document: one of them stays after the near duplicates. Very long texts are read whole by
+every stage. Of equal scores both stay or go; of copies the smallest doc_id stays. Columns beyond those of
+`documents`, whatever their names, are kept up to the last stage. An empty table gives no rows; without labels of
+both classes a classifier rejects nothing.
 """
 
 from __future__ import annotations
@@ -11,7 +21,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import mixing, packing, quality_mil, simhash, toxicity
+from sluice.llm import common, mixing, packing, quality_mil, simhash, toxicity
 from sluice.llm.common import shared_dir, table, tokenizer_path
 
 
@@ -50,8 +60,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/sluice-pipeline-{uuid.uuid4().hex}"
+    last = None
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        docs.write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+        before = common.cuts()
+        path = f"{base}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        common.release(spark, before)
+        if last:
+            common.delete_folder(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
