@@ -36,6 +36,8 @@ WORD_FEATURES, FEATURES = 10, 15
 def look(word: str) -> tuple[float, ...]:
     """What a word looks like, without what it is."""
     n = len(word)
+    if word.isalpha():  # no signs and no digits in it
+        return (min(n, 40) / 10, float(n > 1 and word.isupper()), 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, float(word[0].isupper()), float(n <= 3))
     bare = word.rstrip(".,;:!?")
     signs = sum(c in SIGNS for c in word)
     return (
