@@ -76,12 +76,12 @@ class Encoder:
         self.letters: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(f.ids, "<u4").tobytes() for f in found]
 
     def _letters(self, new: list[str]) -> None:
         """Remember the ids of lower-case letter runs."""
-        ids = np.array(self.plain.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.plain.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
         stops = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
         if len(stops) != len(new):  # a run of letters is not one word of this file
             self.letters.update(zip(new, self._encode(new)))
@@ -96,9 +96,12 @@ class Encoder:
         split, odd, unknown = [], [], []
         letters, signs = self.letters, self.signs
         for word in new:
-            stem = word.rstrip(SIGNS)
-            sign = word[len(stem) :]
-            stem = stem.lower()
+            if word.isalpha():
+                stem, sign = word.lower(), ""
+            else:
+                stem = word.rstrip(SIGNS)
+                sign = word[len(stem) :]
+                stem = stem.lower()
             # NFC leaves such letters alone, and lowering one does not depend on others
             if stem.isalpha() and len(word) <= LONGEST and (stem.isascii() or max(stem) < "\u0250"):
                 split.append((word, stem, sign))
