@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -21,6 +22,25 @@ def register(spark: SparkSession, name: str, function: Callable, returns: str):
     return spark.udf.register(name, F.pandas_udf(function, returns))
 
 
+def register_rows(spark: SparkSession, name: str, function: Callable, returns: str):
+    """A function of single values under a SQL name, called for each row of an Arrow batch; it
+    may call itself. Null where an argument is null."""
+
+    arity = len(inspect.signature(function).parameters)
+
+    def rows(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in columns:
+            batch = batch if isinstance(batch, tuple) else (batch,)
+            yield pd.Series([None if any(pd.isna(v) for v in values) else function(*values) for values in zip(*batch)], dtype=object)
+
+    def one(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from rows(columns)
+
+    one.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    rows.__annotations__ = {"columns": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
+    return spark.udf.register(name, F.pandas_udf(one if arity == 1 else rows, returns))
+
+
 def define(name: str, arguments: str, returns: str, body: str) -> str:
     """The statement of a function that stays inside the JVM."""
     return f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {returns} RETURN {body}"

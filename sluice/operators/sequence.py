@@ -8,6 +8,7 @@ buckets of the order, whose totals are carried over as a small table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -19,8 +20,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..streaming.run import shared_folder
 
 Fold = Callable[[Column, Column], Column]
-#: Buckets of the order for running values.
-BUCKETS = 64
+#: Buckets of the order for running values, at most; there are as many as the session's shuffle has partitions.
+MOST_BUCKETS = 1 << 14
 #: Neighbours that a task of a sequential fold holds, and the states appended to one array.
 RUN, SPAN = 1 << 16, 256
 
@@ -92,20 +93,36 @@ class Seq:
         """Running "sum", "min", "max" or "count" up to and with each item."""
         return replace(self, df=self._running(self._x, kind).select(self.ord, F.col("_value").alias(self.item)))
 
+    def _bucketed(self) -> DataFrame:
+        """The rows with `_b`, the bucket of their place in the order.
+
+        The order is cut at its approximate quantiles, one cut per partition of the session's
+        shuffle, which come as one broadcast row. A row looks among every `step`-th
+        cut first and then among the `step` cuts behind that.
+        """
+        n = min(MOST_BUCKETS, int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        if n < 2:
+            return self.df.withColumn("_b", F.lit(0))
+        step = math.isqrt(n - 1) + 1
+        cuts = F.percentile_approx(self._o, [k / n for k in range(1, n)], max(10_000, 10 * n))
+        cuts = self.df.agg(F.array_sort(F.array_distinct(cuts)).alias("_cuts"))  # one row
+        cuts = cuts.select("_cuts", F.filter("_cuts", lambda c, i: i % step == 0).alias("_tops"))
+        tops = F.size(F.filter("_tops", lambda c: c < self._o))
+        rows = self.df.join(F.broadcast(cuts), on=F.lit(True)).withColumn("_top", tops)
+        first = (F.col("_top") - 1) * step + 1
+        inside = F.size(F.filter(F.slice("_cuts", first, F.lit(step)), lambda c: c < self._o))
+        return rows.withColumn("_b", F.when(F.col("_top") > 0, first - 1 + inside).otherwise(0)).drop("_cuts", "_tops", "_top")
+
     def _running(self, x: Column, kind: str) -> DataFrame:
         """The rows with `_value`, the running aggregate of x.
 
-        The order is cut into buckets at its approximate quantiles. Running values inside
-        a bucket come from a window per bucket; what all earlier buckets give is a
-        window over the buckets' totals, at most BUCKETS rows, joined by broadcast.
+        Running values inside a bucket come from a window per bucket; what all earlier
+        buckets give is a window over the buckets' totals, at most MOST_BUCKETS rows, joined by broadcast.
         """
         inside = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}[kind]
         over = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.sum}[kind]
         both = {"sum": lambda a, b: a + b, "count": lambda a, b: a + b, "min": F.least, "max": F.greatest}[kind]
-        cuts = self.df.agg(F.percentile_approx(self._o, [k / BUCKETS for k in range(1, BUCKETS)]).alias("c")).first()["c"] or []
-        cuts = sorted(set(cuts))
-        marks = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-        rows = self.df.withColumn("_b", F.size(F.filter(marks, lambda c: c < self._o)))
+        rows = self._bucketed()
         local = rows.withColumn("_r", inside(x).over(W.partitionBy("_b").orderBy(self._o).rowsBetween(W.unboundedPreceding, 0)))
         totals = rows.groupBy("_b").agg(inside(x).alias("_t"))
         before = totals.select(F.col("_b").alias("_of"), over("_t").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))

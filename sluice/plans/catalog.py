@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import host, scalar
+from ..operators.asof import asof_join
 from ..operators.sequence import Seq, member_count, nested
 from ..session import Engine
-from ..sources.tables import count_from_footers, read_table
-from ..streaming.run import over_stream
+from ..sources.tables import count_from_footers, read, read_table, write
+from ..streaming.run import arrivals, drain, in_order, join_streams, over_stream, shared_folder, windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -135,6 +137,36 @@ sql("window_rank", "SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_cu
 sql("sort_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 sql("set_ops", "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey AS k FROM supplier UNION ALL SELECT n_nationkey AS k FROM nation EXCEPT SELECT r_regionkey AS k FROM region")
 
+sql("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+sql("join_range", t := "SELECT b.band, count(*) AS n, sum(o_orderkey) AS s FROM orders JOIN (SELECT * FROM (VALUES (0, 0, 50000), (1, 50000, 150000), (2, 100000, 250000), (3, 250000, 1000000)) v(band, lo, hi)) b ON o_totalprice >= b.lo AND o_totalprice < b.hi GROUP BY b.band", big(t))
+frame("join_asof", "SELECT e.event_id, e.user_id, p.event_id AS bought, p.value FROM (SELECT * FROM events WHERE event_type = 'click') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts", "events")(
+    lambda spark, e: asof_join(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), e.where("event_type = 'purchase'").select(F.col("event_id").alias("bought"), "user_id", "ts", "value"), ["user_id"], "ts", ["bought", "value"], "bought").drop("ts")
+)
+sql("agg_stats", "SELECT l_returnflag AS k, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_discount), 9) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS r, median(l_quantity) AS mid FROM lineitem GROUP BY l_returnflag")
+sql("grouping_sets", "SELECT l_returnflag AS a, l_linestatus AS b, l_linenumber AS c, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())")
+sql("rollup", "SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+sql("scalar_subquery", "SELECT o_orderkey, o_totalprice > (SELECT avg(o_totalprice) FROM orders) AS dear, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders")
+sql("values_rows", "SELECT v.k, v.name, count(c_custkey) AS n FROM (VALUES (0, 'none'), (1, 'one'), (NULL, 'null')) AS v(k, name) LEFT JOIN customer ON c_nationkey = v.k GROUP BY v.k, v.name")
+sql("sql_bits", "SELECT o_orderkey, o_custkey % 7 AS rem, o_orderkey / 4 AS quot, o_orderkey & 12 AS both, o_orderkey | 5 AS either, o_orderkey << 2 AS up, o_orderkey >> 1 AS down FROM orders")
+sql("fn_string", "SELECT c_custkey, upper(c_mktsegment) AS up, lower(c_name) AS low, substr(c_name, 10, 4) AS part, replace(c_name, '#', '-') AS swapped, concat(c_mktsegment, ':', c_name) AS both, trim(concat(' ', c_mktsegment, ' ')) AS bare, length(c_name) AS n, left(c_name, 3) AS head, reverse(c_mktsegment) AS back, lpad(c_mktsegment, 12, '.') AS padded FROM customer", "SELECT c_custkey, upper(c_mktsegment) AS up, lower(c_name) AS low, substr(c_name, 10, 4) AS part, replace(c_name, '#', '-') AS swapped, concat(c_mktsegment, ':', c_name) AS both, trim(concat(' ', c_mktsegment, ' ')) AS bare, CAST(length(c_name) AS INTEGER) AS n, left(c_name, 3) AS head, reverse(c_mktsegment) AS back, lpad(c_mktsegment, 12, '.') AS padded FROM customer")
+sql("fn_math", "SELECT c_custkey, abs(c_acctbal) AS a, round(sqrt(abs(c_acctbal)), 6) AS r, CAST(floor(c_acctbal) AS BIGINT) AS lo, CAST(ceil(c_acctbal) AS BIGINT) AS hi, round(ln(abs(c_acctbal) + 1), 6) AS l, round(pow(c_nationkey, 2), 3) AS p, CAST(sign(c_acctbal) AS INTEGER) AS s, round(exp(c_nationkey / 10.0), 6) AS e FROM customer")
+sql("fn_date", "SELECT event_id, CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS m, CAST(day(ts) AS INTEGER) AS d, CAST(hour(ts) AS INTEGER) AS h, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS at, CAST(ts AS DATE) AS date, ts + INTERVAL 1 DAY AS next FROM events".replace("CAST(date_trunc('hour', ts) AS TIMESTAMP)", "CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ)"), "SELECT event_id, CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS m, CAST(day(ts) AS INTEGER) AS d, CAST(hour(ts) AS INTEGER) AS h, date_trunc('hour', ts) AS at, CAST(ts AS DATE) AS date, ts + INTERVAL 1 DAY AS next FROM events")
+frame("fn_array", "SELECT vec_id, list_max(embedding) AS top, list_min(embedding) AS least, CAST(len(list_filter(embedding, lambda x: x > 0)) AS INTEGER) AS up, list_contains(embedding, embedding[3]) AS has, list_sort(embedding)[1] AS first FROM embeddings", "embeddings")(
+    lambda spark, e: e.select("vec_id", F.array_max("embedding").alias("top"), F.array_min("embedding").alias("least"), F.size(F.filter("embedding", lambda x: x > 0)).alias("up"), F.array_contains("embedding", F.get("embedding", F.lit(2))).alias("has"), F.get(F.array_sort("embedding"), F.lit(0)).alias("first"))
+)
+
+
+@frame("source_formats", "SELECT n_nationkey, n_name, n_regionkey, k AS format FROM nation, (VALUES ('csv'), ('json'), ('orc'), ('parquet')) f(k)", "nation")
+def _(spark, nation):
+    """A table written and read again in several formats."""
+    folder, found = shared_folder(spark), None
+    for kind in ("csv", "json", "orc", "parquet"):
+        write(nation, f"{folder}/{kind}", kind)
+        back = read(spark, f"{folder}/{kind}", kind, nation.schema).withColumn("format", F.lit(kind))
+        found = back if found is None else found.unionByName(back)
+    return found.select("n_nationkey", "n_name", "n_regionkey", "format")
+
+
 # --- streams ----------------------------------------------------------------------------
 
 
@@ -171,6 +203,38 @@ def _(spark, events):
     return over_stream(spark, events, shape, "complete").select("k", F.col("w.start").cast("timestamp_ntz").alias("day"), "n")
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    return events.withColumn("t", F.col("ts").cast("timestamp"))
+
+
+_CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@frame("stream_late", f"SELECT event_type AS k, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n FROM events GROUP BY 1, 2 HAVING day + INTERVAL 1 DAY <= {_CLOSED}", "events")
+def _(spark, events):
+    """Tumbling windows, appended once the watermark has passed them; the first day comes a second time at the end and is dropped as late."""
+    rows = _timed(events)
+    first = rows.agg(F.min("t")).first()[0]
+    again = rows.where(F.col("t") < F.lit(first) + F.expr("INTERVAL 1 HOUR"))
+    stream = arrivals(spark, [*in_order(rows, "t"), again])
+    found = windowed(stream.withColumnRenamed("event_type", "k"), "t", ["k"], "1 day", late="1 hour", n=F.count(F.lit(1)))
+    return drain(found).select("k", F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
+
+
+@frame("stream_sliding", f"SELECT start, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS s FROM (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) - k * INTERVAL 1 DAY AS start FROM events, range(2) r(k)) GROUP BY start HAVING start + INTERVAL 2 DAY <= {_CLOSED}", "events")
+def _(spark, events):
+    found = windowed(arrivals(spark, in_order(_timed(events), "t")), "t", [], "2 days", "1 day", late="1 hour", n=F.count(F.lit(1)), s=F.sum("user_id"))
+    return drain(found).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "s")
+
+
+@frame("stream_join", "SELECT a.event_id AS clicked, b.event_id AS bought FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'", "events")
+def _(spark, events):
+    """Both sides arrive in batches."""
+    rows = _timed(events)
+    side = lambda kind, id, t: arrivals(spark, [b.where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(id), F.col("t").alias(t)) for b in in_order(rows, "t")])
+    return drain(join_streams(side("click", "clicked", "at"), side("purchase", "bought", "later"), ["user_id"], "at", "later", "6 hours").select("clicked", "bought"))
+
+
 # --- host functions -----------------------------------------------------------------------
 
 
@@ -248,7 +312,11 @@ def _(spark, embeddings):
     return embeddings.select("vec_id", F.size(e).cast("bigint").alias("n"), F.get(e, 2).alias("third"), scalar.get_or(e, 998, F.lit(-1).cast("float")).alias("beyond"), F.get(scalar.swap(e, 0, 1), 0).alias("swapped"), F.get(scalar.sub_slice(e, 4, 7), 2).alias("part"))
 
 
-@frame("scalar_bits", None, "lineitem")
+#: The discounts of the tables and the whole numbers of the same 64 bits.
+_BITS = ", ".join(f"({k} / 100.0::DOUBLE, {struct.unpack('<q', struct.pack('<d', k / 100))[0]})" for k in range(101))
+
+
+@frame("scalar_bits", f"SELECT l_orderkey, l_linenumber, l_discount AS same, bits FROM lineitem LEFT JOIN (VALUES {_BITS}) t(d, bits) ON l_discount = d", "lineitem")
 def _(spark, lineitem):
     return lineitem.select("l_orderkey", "l_linenumber", scalar.bits_float(scalar.float_bits("l_discount")).alias("same"), scalar.float_bits("l_discount").alias("bits"))
 
@@ -290,6 +358,9 @@ frame("iter_zip_dot", "SELECT CAST(sum(a.user_id * o.o_custkey) AS BIGINT) AS su
 frame("iter_enumerate", "SELECT o_orderkey AS ord, o_custkey AS item, row_number() OVER (ORDER BY o_orderkey) - 1 AS index FROM orders", "orders")(
     lambda spark, o: Seq.of(o, "o_orderkey", "o_custkey").enumerate()
 )
+frame("iter_zip_nested", "SELECT a.i - 1 AS ord, CAST(a.user_id * o.o_custkey + c.c_nationkey AS BIGINT) AS item FROM (SELECT user_id, row_number() OVER (ORDER BY event_id) AS i FROM events) a JOIN (SELECT o_custkey, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) o ON a.i = o.i JOIN (SELECT c_nationkey, row_number() OVER (ORDER BY c_custkey) AS i FROM customer) c ON a.i = c.i", "events", "orders", "customer")(
+    lambda spark, e, o, c: _seq(e).zip(Seq.of(o, "o_orderkey", "o_custkey"), lambda a, b: a * b).zip(Seq.of(c, "c_custkey", "c_nationkey"), lambda a, b: a + b).df
+)
 frame("iter_sum_empty", "SELECT CAST(0 AS BIGINT) AS sum", *_SEQ)(lambda spark, e: _seq(e).filter(lambda x: x < 0).sum())
 frame("iter_count", "SELECT count(*) AS n FROM events WHERE user_id > 10", *_SEQ)(lambda spark, e: _seq(e).filter(lambda x: x > 10).count())
 frame("iter_count_if", "SELECT count(*) FILTER (WHERE user_id % 2 = 0) AS n FROM events", *_SEQ)(lambda spark, e: _seq(e).count_if(lambda x: x % 2 == 0))
@@ -328,8 +399,8 @@ frame("program_multiples", "SELECT CAST(sum(i) AS BIGINT) AS sum FROM range(1, 1
 )
 sql("program_fibonacci", t := "WITH RECURSIVE f(a, b) AS (SELECT CAST(1 AS BIGINT), CAST(2 AS BIGINT) UNION ALL SELECT b, a + b FROM f WHERE b < 4000000) SELECT sum(a) AS s FROM f WHERE a % 2 = 0", big(t))
 sql("program_square_difference", "SELECT CAST(sum(id) * sum(id) - sum(id * id) AS BIGINT) AS d FROM range(1, 101)", "SELECT CAST(sum(i) * sum(i) - sum(i * i) AS BIGINT) AS d FROM range(1, 101) t(i)")
-frame("program_palindrome", "SELECT max(a * b) AS p FROM range(900, 1000) x(a), range(900, 1000) y(b) WHERE CAST(a * b AS VARCHAR) = reverse(CAST(a * b AS VARCHAR))")(
-    lambda spark: spark.range(900, 1000).toDF("a").withColumn("b", F.explode(F.sequence(F.lit(900), F.lit(999)))).select((F.col("a") * F.col("b")).alias("p")).where(F.col("p").cast("string") == F.reverse(F.col("p").cast("string"))).agg(F.max("p").alias("p"))
+frame("program_palindrome", "SELECT max(a * b) AS p FROM range(100, 1000) x(a), range(100, 1000) y(b) WHERE CAST(a * b AS VARCHAR) = reverse(CAST(a * b AS VARCHAR))")(
+    lambda spark: spark.range(100, 1000).toDF("a").withColumn("b", F.explode(F.sequence(F.lit(100), F.lit(999)))).select((F.col("a") * F.col("b")).alias("p")).where(F.col("p").cast("string") == F.reverse(F.col("p").cast("string"))).agg(F.max("p").alias("p"))
 )
 frame("program_triplet", "SELECT a * b * (1000 - a - b) AS p FROM range(1, 500) x(a), range(1, 500) y(b) WHERE a < b AND a * a + b * b = (1000 - a - b) * (1000 - a - b)")(
     lambda spark: spark.range(1, 500).toDF("a").withColumn("b", F.explode(F.sequence(F.col("a") + 1, F.lit(500)))).withColumn("c", 1000 - F.col("a") - F.col("b")).where("a * a + b * b = c * c").selectExpr("a * b * c AS p")
@@ -347,7 +418,8 @@ frame("program_amicable", "WITH d AS (SELECT n, coalesce(CAST(sum(k) AS BIGINT),
 )
 frame("program_reverse", "SELECT -event_id AS ord, user_id AS item FROM events", *_SEQ)(lambda spark, e: _seq(e).reverse().df)
 _TRIANGLE = "75|95 64|17 47 82|18 35 87 10|20 4 82 47 65|19 1 23 75 3 34|88 2 77 73 7 63 67|99 65 4 28 6 16 70 92|41 41 26 56 83 40 80 70 33|41 48 72 33 47 32 37 16 94 29|53 71 44 65 25 43 91 52 97 51 14|70 11 33 28 77 73 17 78 39 68 17 57|91 71 52 38 17 14 91 43 58 50 27 29 48|63 66 4 68 89 53 67 30 73 16 69 87 40 31|4 62 98 27 23 9 70 98 73 93 38 53 60 4 23"
-frame("program_triangle", "SELECT CAST(1074 AS BIGINT) AS best")(
+_ROWS = ", ".join(f"({k}, [{row.replace(' ', ', ')}])" for k, row in enumerate(_TRIANGLE.split("|"), 1))
+frame("program_triangle", f"WITH RECURSIVE t(r, v) AS (VALUES {_ROWS}), f(r, best) AS (SELECT r, v FROM t WHERE r = 15 UNION ALL SELECT t.r, list_transform(range(1, len(t.v) + 1), lambda i: t.v[i] + greatest(f.best[i], f.best[i + 1])) FROM f JOIN t ON t.r = f.r - 1) SELECT CAST(best[1] AS BIGINT) AS best FROM f WHERE r = 1")(
     lambda spark: spark.createDataFrame([([[int(x) for x in row.split()] for row in _TRIANGLE.split("|")],)], "rows array<array<bigint>>").select(
         F.get(F.aggregate(F.reverse("rows"), F.array_repeat(F.lit(0).cast("bigint"), 16), lambda below, row: F.transform(row, lambda x, i: x + F.greatest(F.get(below, i), F.get(below, i + 1)))), 0).alias("best")
     )
@@ -363,7 +435,7 @@ frame("program_smallest_multiple", "SELECT CAST(list_reduce(range(1, 21), lambda
 frame("program_divisible_triangle", "SELECT min(t) AS t FROM (SELECT t FROM (SELECT i * (i + 1) // 2 AS t FROM range(1, 12500) r(i)) JOIN range(1, 8840) u(d) ON d * d <= t AND t % d = 0 GROUP BY t HAVING sum(CASE WHEN d * d = t THEN 1 ELSE 2 END) > 500)")(
     lambda spark: spark.range(1, 12500).selectExpr("id * (id + 1) div 2 AS t").where("aggregate(filter(sequence(1, cast(floor(sqrt(t)) as int)), d -> t % d = 0), 0, (a, d) -> a + CASE WHEN d * d = t THEN 1 ELSE 2 END) > 500").agg(F.min("t").alias("t"))
 )
-frame("program_lattice", "SELECT CAST(137846528820 AS BIGINT) AS paths")(
+frame("program_lattice", "WITH RECURSIVE c(k, b) AS (SELECT 0, CAST(1 AS HUGEINT) UNION ALL SELECT k + 1, b * (20 - k) // (k + 1) FROM c WHERE k < 20) SELECT CAST(sum(b * b) AS BIGINT) AS paths FROM c")(
     lambda spark: spark.range(1).select(F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.lit(1).cast("bigint"), lambda a, k: F.floor(a * (k + 20) / k)).alias("paths"))
 )
 sql("program_spiral", "SELECT 1 + CAST(sum(4 * (2 * id + 1) * (2 * id + 1) - 12 * id) AS BIGINT) AS s FROM range(1, 501)", "SELECT 1 + CAST(sum(4 * (2 * i + 1) * (2 * i + 1) - 12 * i) AS BIGINT) AS s FROM range(1, 501) t(i)")
@@ -385,6 +457,16 @@ def _gcd(a, b):
     return F.aggregate(F.sequence(F.lit(1), F.lit(12)), pair, step, lambda p: p["a"])
 
 
+@frame("program_recursive", "WITH RECURSIVE f(n, a, b) AS (SELECT 1, CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 20) SELECT CAST(n AS BIGINT) AS n, CAST(factorial(n) AS BIGINT) AS factorial, a AS fibonacci, CAST(gcd(n * 12, 90) AS BIGINT) AS gcd FROM f")
+def _(spark):
+    factorial = lambda n: 1 if n < 2 else n * factorial(n - 1)
+    fibonacci = lambda n: 1 if n < 3 else fibonacci(n - 1) + fibonacci(n - 2)
+    gcd = lambda a, b: a if b == 0 else gcd(b, a % b)
+    for name, function in (("host_factorial", factorial), ("host_fibonacci", fibonacci), ("host_gcd", gcd)):
+        host.register_rows(spark, name, function, "bigint")
+    return spark.sql("SELECT id AS n, host_factorial(id) AS factorial, host_fibonacci(id) AS fibonacci, host_gcd(id * 12, 90L) AS gcd FROM range(1, 21)")
+
+
 # --- containers -----------------------------------------------------------------------------
 
 

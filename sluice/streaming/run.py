@@ -11,8 +11,14 @@ from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that all machines see: `spark.checkpoint.dir`, or a local one if unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new folder that all machines see, under `spark.checkpoint.dir`. Where that is unset, a
+    local one if all runs in this process; on a cluster it must be set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -52,12 +58,39 @@ def over_stream(spark: SparkSession, table: DataFrame, query: Callable[[DataFram
     return drain(query(read_stream(spark, f"{folder}/in", table.schema)), folder, mode)
 
 
+def arrivals(spark: SparkSession, batches: list[DataFrame], folder: str | None = None) -> DataFrame:
+    """A stream that gets these tables, a file each, one after another."""
+    folder = folder or f"{shared_folder(spark)}/in"
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(folder)
+    return read_stream(spark, folder, batches[0].schema)
+
+
+def in_order(table: DataFrame, time: str, batches: int = 4) -> list[DataFrame]:
+    """A table cut into batches of one span of time after another."""
+    cuts = table.agg(F.percentile_approx(F.unix_micros(time), [k / batches for k in range(1, batches)])).first()[0] or []
+    at = F.unix_micros(time)
+    ends = [None, *cuts, None]
+    return [table.where((at > a if a is not None else F.lit(True)) & (at <= b if b is not None else F.lit(True))) for a, b in zip(ends, ends[1:])]
+
+
 def scalar_or_empty(result: DataFrame, empty: DataFrame) -> DataFrame:
     """A streamed scalar aggregate; where no batch ever came, the row of an empty input."""
     return result.unionByName(empty.join(result.limit(1).select(F.lit(1).alias("_some")), F.lit(True), "left_anti"))
 
 
 def windowed(stream: DataFrame, time: str, keys: list[str], size: str, slide: str | None = None, late: str = "10 minutes", **aggs) -> DataFrame:
-    """Event-time windows with a watermark."""
+    """Event-time windows with a watermark. Appended, a window comes out once the
+    watermark has passed its end, and rows of windows before that are dropped as late."""
     w = F.window(time, size, slide) if slide else F.window(time, size)
     return stream.withWatermark(time, late).groupBy(w.alias("window"), *keys).agg(*[c.alias(n) for n, c in aggs.items()])
+
+
+def join_streams(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, within: str, late: str = "1 hour", how: str = "inner") -> DataFrame:
+    """Rows of two streams with equal keys, the right one at most `within` after the left.
+    Watermarks on both sides bound the state: a row is forgotten once no partner can come."""
+    a, b = left.withWatermark(left_time, late), right.withWatermark(right_time, late)
+    close = (F.col(right_time) >= F.col(left_time)) & (F.col(right_time) <= F.col(left_time) + F.expr(f"INTERVAL {within}"))
+    for k in keys:
+        close &= a[k] == b[k]
+    return a.join(b, close, how)

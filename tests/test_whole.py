@@ -61,7 +61,7 @@ def test_window_product_is_of_neighbours(spark):
     assert catalog.QUERIES["iter_window_product"](spark, FOLDER).first()[0] == max(math.prod(items[k : k + 4]) for k in range(len(items) - 3))
 
 
-#: The reference's arguments and answers (rust-lms/tests/euler.rs).
+#: The answers at the published arguments of these puzzles.
 ANSWERS = {
     "prime_factor": 6857, "smallest_multiple": 232792560, "nth_prime": 104743, "primes": 142913828922, "divisible_triangle": 76576500,
     "lattice": 137846528820, "amicable": 31626, "digit_powers": 443839, "digit_factorials": 40730, "triangle": 1074,
