@@ -20,8 +20,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..streaming.run import shared_folder
 
 Fold = Callable[[Column, Column], Column]
-#: Buckets of the order for running values, at most; there are as many as the session's shuffle has partitions.
-MOST_BUCKETS = 1 << 14
+#: Items of a bucket of the order for running values, and buckets, at most.
+PER_BUCKET, MOST_BUCKETS = 1 << 20, 1 << 14
 #: Neighbours that a task of a sequential fold holds, and the states appended to one array.
 RUN, SPAN = 1 << 16, 256
 
@@ -96,11 +96,11 @@ class Seq:
     def _bucketed(self) -> DataFrame:
         """The rows with `_b`, the bucket of their place in the order.
 
-        The order is cut at its approximate quantiles, one cut per partition of the session's
-        shuffle, which come as one broadcast row. A row looks among every `step`-th
-        cut first and then among the `step` cuts behind that.
+        The order is cut at its approximate quantiles, as many as its length asks for, which
+        come as one broadcast row. A row looks among every `step`-th cut first and
+        then among the `step` cuts behind that. A short sequence is one bucket.
         """
-        n = min(MOST_BUCKETS, int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        n = min(MOST_BUCKETS, -(-self.df.count() // PER_BUCKET))
         if n < 2:
             return self.df.withColumn("_b", F.lit(0))
         step = math.isqrt(n - 1) + 1

@@ -1,11 +1,14 @@
 """Ordered sequences, scalar operators, host functions and streams against literal results."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import host, scalar
+from sluice.operators import sequence
+from sluice.operators.asof import asof_join
 from sluice.operators.sequence import Seq
 from sluice.streaming import run as streaming
 
@@ -29,7 +32,13 @@ def test_while(spark):
     assert items(seq(spark, [1, 2]).skip_while(lambda x: x < 5)) == []
 
 
-def test_scan(spark):
+@pytest.fixture(params=[1 << 20, 300, 10])
+def bucket(request, monkeypatch):
+    """Sequences of one bucket, of a few and of many."""
+    monkeypatch.setattr(sequence, "PER_BUCKET", request.param)
+
+
+def test_scan(spark, bucket):
     assert one(seq(spark, [1, 2, 3, 4]).scan("sum").sum()) == (20,)
     values = [(k * 37) % 101 - 50 for k in range(1000)]
     total, sums, lows = 0, [], []
@@ -64,6 +73,51 @@ def test_empty_terminals(spark):
     assert one(s.last()) == (0,)
 
 
+def test_long_zip_and_enumerate(spark, bucket):
+    values = [(k * 37) % 101 for k in range(700)]
+    s = Seq(spark.createDataFrame([(k * k, v) for k, v in enumerate(values)], "ord bigint, item bigint").repartition(3))
+    assert sorted(tuple(r) for r in s.enumerate().collect()) == [(k * k, v, k) for k, v in enumerate(values)]
+    assert items(s.zip(seq(spark, values[::-1][:500]), lambda a, b: a * b)) == [a * b for a, b in zip(values, values[::-1][:500])]
+    nested = s.zip(seq(spark, values)).zip(seq(spark, [1, 2, 3]), lambda p, x: p["left"] * p["right"] + x)
+    assert items(nested) == [v * v + k + 1 for k, v in enumerate(values[:3])]
+
+
+def test_for_each(spark, tmp_path):
+    """Side effects on the executors, of single items and of pairs."""
+    folder = str(tmp_path)
+    note = lambda v: open(f"{folder}/{v}", "w").close()
+    seq(spark, [3, 1, 2]).for_each(note)
+    seq(spark, [10, 20]).zip(seq(spark, [7, 8, 9])).for_each(lambda p: open(f"{folder}/{p[0]}-{p[1]}", "w").close())
+    assert sorted(os.listdir(folder)) == ["1", "10-7", "2", "20-8", "3"]
+
+
+def test_late_rows_and_windows(spark):
+    day = lambda d, h: f"2024-01-{d:02d} {h:02d}:00:00"
+    rows = lambda *times: spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp").alias("t"))
+    batches = [rows(day(1, 1), day(1, 20)), rows(day(2, 3), day(4, 0)), rows(day(4, 1)), rows(day(1, 5), day(4, 2))]  # the last begins with a late row
+    found = streaming.windowed(streaming.arrivals(spark, batches), "t", [], "1 day", late="1 hour", n=F.count(F.lit(1)))
+    got = sorted((str(r.window.start), r.n) for r in streaming.drain(found).collect())
+    assert got == [("2024-01-01 00:00:00", 2), ("2024-01-02 00:00:00", 1)]
+
+
+def test_streams_on_both_sides(spark):
+    rows = lambda name, pairs: spark.createDataFrame(pairs, f"k int, {name} string").select("k", F.col(name).cast("timestamp").alias(name))
+    left = [rows("at", [(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:10:00")]), rows("at", [(1, "2024-01-01 05:00:00")])]
+    right = [rows("later", [(1, "2024-01-01 00:30:00"), (1, "2024-01-01 03:00:00")]), rows("later", [(2, "2024-01-01 04:00:00"), (1, "2024-01-01 05:59:00")])]
+    joined = streaming.join_streams(streaming.arrivals(spark, left), streaming.arrivals(spark, right), ["k"], "at", "later", "1 hour")
+    got = sorted((str(r["at"]), str(r["later"])) for r in streaming.drain(joined.select("at", "later")).collect())
+    assert got == [("2024-01-01 00:00:00", "2024-01-01 00:30:00"), ("2024-01-01 05:00:00", "2024-01-01 05:59:00")]
+
+
+def test_as_of_join(spark):
+    left = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9), (4, None, 5), (5, "a", None), (6, "a", 7)], "id int, k string, t int")
+    right = spark.createDataFrame([("a", 2, 10), ("a", 5, 20), ("a", 5, 30), (None, 1, 40), ("a", 8, 50), ("b", None, 60)], "k string, t int, v int")
+    got = sorted((r.id, r.v) for r in asof_join(left, right, ["k"], "t", ["v"], "v").collect())
+    assert got == [(1, 30), (2, None), (3, None), (4, None), (5, None), (6, 30)]
+    assert asof_join(left.limit(0), right, ["k"], "t", ["v"], "v").count() == 0
+    assert asof_join(left, right.limit(0), ["k"], "t", ["v"], "v").count() == 6
+
+
 def test_zip_and_range(spark):
     left, right = seq(spark, [1, 2, 3]), seq(spark, [10, 20])
     assert items(left.zip(right, lambda a, b: a * b)) == [10, 40]
