@@ -21,6 +21,12 @@
 4. Components over all forests by alternating star contraction, each round
    written to the shared folder.
 
+`near_duplicates` links by one fingerprint of shingles. `similar` finds near copies that differ in more of its bits:
+each document has TABLES fingerprints of its distinct words, which a changed word moves by a fraction of
+what it moves one of shingles, and an index on each; what two texts in a bucket must also have in common is read from a
+sketch, a SimHash of 64 * SKETCH bits over the distinct shingles, inside the bucket and before the link counts.
+`keep_one` takes either. Its buckets are dealt out as pairs of chunks at every size.
+
 Defined cases: no words (null, empty, blank): fingerprint 0, linked as any other. A
 null doc_id keeps its fingerprint, takes no part in linking and has a null
 component. Rows of the same doc_id are one node. Ties in the majority clear the bit.
@@ -30,7 +36,8 @@ Other columns are not read, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -52,6 +59,10 @@ MOST_CHUNKS = 256
 FANOUT = 4
 #: Shingles hashed at a time.
 STEP = 1 << 15
+#: Fingerprints of a document's words, and longs of the sketch of its shingles, for `similar`.
+TABLES, SKETCH = 4, 4
+CODES = [f"f{i}" for i in range(TABLES)]
+SKETCHES = [f"s{i}" for i in range(SKETCH)]
 #: Pairs of searcher and node looked at in one step of a search.
 FRONT = 1 << 20
 
@@ -79,6 +90,59 @@ def fingerprint(text: str | None, width: int = 4, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
 
 
+#: The bits of each byte, the highest first.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
+
+
+def _mixed(h: np.ndarray, n: int) -> np.ndarray:
+    """n rows of independent 64-bit hashes made of the hashes `h` (the finalizer of SplitMix64)."""
+    x = h[None, :] + np.array([i * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(1, n + 1)], np.uint64)[:, None]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majorities(h: np.ndarray, n: int) -> list[int]:
+    """n fingerprints of a set of hashes, each by hashes of its own; zero for the empty set.
+
+    The values of each byte are counted, and a bit's count is the sum over the values that have it.
+    """
+    counts = np.zeros(8 * n * 256, np.int64)
+    places = (256 * np.arange(8 * n)).reshape(n, 1, 8)
+    for at in range(0, len(h), STEP):
+        values = _mixed(h[at : at + STEP], n).view(np.uint8).reshape(n, -1, 8)
+        counts += np.bincount((values + places).ravel(), minlength=len(counts))
+    ones = counts.reshape(8 * n, 256) @ _BITS
+    return np.packbits((2 * ones > len(h)).reshape(n, 64), axis=1).view(np.int64).ravel().tolist()
+
+
+def signature(text: str | None, width: int = 5) -> list[int]:
+    """TABLES fingerprints of the distinct words of a whole text and SKETCH longs of the
+    sketch of its distinct shingles (fewer words: the whole sequence), as signed longs."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_digest
+    if len(words) <= width:
+        several = np.frombuffer(digest(b" ".join(words)) if words else b"", np.uint64)
+    else:
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts, stops = np.r_[0, ends[:-width] + 1], ends[width - 1 :]
+        parts = []
+        for at in range(0, len(starts), STEP):
+            ab = zip(starts[at : at + STEP].tolist(), stops[at : at + STEP].tolist())
+            parts.append(np.frombuffer(b"".join([digest(joined[a:b]) for a, b in ab]), np.uint64))
+        several = np.unique(np.concatenate(parts))
+    single = np.frombuffer(b"".join(map(digest, set(words))), np.uint64)
+    return _majorities(single, TABLES) + _majorities(several, SKETCH)
+
+
+def sketch_limit(similarity: float, bits: int = 64 * SKETCH) -> int:
+    """The differing bits of two sketches up to which their shingle sets count as similar by
+    `similarity` (Jaccard) or more: two standard deviations above what sets of that very similarity give."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Position of each code word in the reflected Gray order."""
     x = x.copy()
@@ -183,10 +247,16 @@ class GrayIndex:
             todo.append((k - 1, np.repeat(who, many), np.repeat(first[node], many) + inside, np.repeat(diff, many)))
 
 
-def join_roots(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest position of each position's component under the links."""
+def join_roots(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]], also=None) -> np.ndarray:
+    """The smallest position of each position's component under the links; under those that
+    `also` confirms, where it is given (it is asked only about what is not connected yet)."""
     root = np.arange(n)
     for a, b in links:
+        if also is not None:
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            true = also(a, b)
+            a, b = a[true], b[true]
         while True:
             ra, rb = root[a], root[b]
             apart = ra != rb
@@ -199,18 +269,30 @@ def join_roots(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.nda
     return root
 
 
-def forest(frame: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """A spanning forest of the links inside each group of (group, fp, node)."""
+def forest(frame: pd.DataFrame, radius: int, limit: int | None = None) -> pd.DataFrame:
+    """A spanning forest of the links inside each group of (group, fp, node); with a `limit`, of
+    those whose sketches (columns SKETCHES) differ in at most so many bits."""
     codes = frame["fp"].to_numpy(np.int64).view(np.uint64)
     group = np.unique(frame["group"].to_numpy(), return_inverse=True)[1]
-    root = join_roots(len(codes), GrayIndex(codes, group, radius).links(codes, group, radius))
+    also = None
+    if limit is not None:
+        sketch = frame[SKETCHES].to_numpy(np.int64).view(np.uint64)
+
+        def also(a, b):
+            true = np.empty(len(a), bool)
+            for at in range(0, len(a), STEP):
+                part = slice(at, at + STEP)
+                true[part] = np.bitwise_count(sketch[a[part]] ^ sketch[b[part]]).sum(axis=1, dtype=np.int64) <= limit
+            return true
+
+    root = join_roots(len(codes), GrayIndex(codes, group, radius).links(codes, group, radius), also)
     node = frame["node"].to_numpy(np.int64)
     a, b = node, node[root]
     apart = a != b
     return pd.DataFrame({"a": a[apart], "b": b[apart]}).drop_duplicates()
 
 
-def _forests(radius: int):
+def _forests(radius: int, limit: int | None = None):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by group; whole groups are searched together."""
         held: list[pd.DataFrame] = []
@@ -226,11 +308,11 @@ def _forests(radius: int):
             open_group = both["group"].iloc[-1]
             done = (both["group"] != open_group).to_numpy()
             if done.any():
-                yield forest(both[done], radius)
+                yield forest(both[done], radius, limit)
                 both = both[~done]
             held, rows = [both], len(both)
         if rows:
-            yield forest(pd.concat(held, ignore_index=True), radius)
+            yield forest(pd.concat(held, ignore_index=True), radius, limit)
 
     return run
 
@@ -245,6 +327,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_columns(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
 
 
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """(doc_id, CODES, SKETCHES) of every row, all longs."""
+
+    def run(parts: Iterator[list[list]]) -> Iterator[list]:
+        for ids, texts in parts:
+            found = np.array([signature(t, width) for t in texts], np.int64).reshape(-1, TABLES + SKETCH)
+            yield [ids, *found.T]
+
+    schema = ", ".join(f"{c} long" for c in ["doc_id", *CODES, *SKETCHES])
+    return map_columns(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
+
+
 def choose_blocks(n: int, radius: int) -> int:
     """How many blocks two of n fingerprints must agree in to be compared: the fewest
     that leave at most BUCKET evenly spread ones in a bucket."""
@@ -271,31 +365,38 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def bucket_links(nodes: DataFrame, radius: int, k: int | None = None) -> DataFrame:
-    """(a, b): forests of the links between the fingerprints of `nodes` (fp, node)."""
+def bucket_links(nodes: DataFrame, radius: int, k: int | None = None, codes: tuple[str, ...] = ("fp",), limit: int | None = None) -> DataFrame:
+    """(a, b): forests of the links between the fingerprints of `nodes` (fp, node). With several
+    `codes` two are linked by any one of them. A `limit` asks the sketches as well (columns SKETCHES); buckets
+    are then dealt out as pairs of chunks however large they are, as the smallest member near a word may fail."""
     masks = block_masks(radius, k or choose_blocks(nodes.count(), radius))
-    entry = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)])
-    entries = nodes.select("fp", "node", F.explode(entry).alias("e")).select("fp", "node", "e.t", "e.k")
+    carried = ["fp", "node", *(SKETCHES if limit is not None else [])]
+    entry = [
+        F.struct(F.lit(i * len(masks) + t).alias("t"), F.col(c).bitwiseAND(F.lit(_signed(m))).alias("k"), F.col(c).alias("fp"))
+        for i, c in enumerate(codes) for t, m in enumerate(masks)
+    ]
+    entries = nodes.select(*carried[1:], F.explode(F.array(*entry)).alias("e")).select("e.fp", *carried[1:], "e.t", "e.k")
     hot = entries.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
     hot = cut(hot, "hot")  # at most a row per CHUNK entries; read anew, so that the joins below may split a hot bucket
     if hot.isEmpty():
-        return _searched(entries.select(F.xxhash64("t", "k").alias("group"), "fp", "node"), radius)
-    by_chunks, by_words = hot.where(F.col("n") <= CHUNK * MOST_CHUNKS), hot.where(F.col("n") > CHUNK * MOST_CHUNKS)
+        return _searched(entries.select(F.xxhash64("t", "k").alias("group"), *carried), radius, limit)
+    huge = F.col("n") > (CHUNK * MOST_CHUNKS if limit is None else F.lit(1 << 62))
+    by_chunks, by_words = hot.where(~huge), hot.where(huge)
     chunks = F.ceil(F.coalesce("n", F.lit(1)) / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), chunks).cast("int")
+    mine = F.pmod(F.xxhash64("fp", "node"), chunks).cast("int")
     dealt = entries.join(by_words, ["t", "k"], "left_anti").join(by_chunks, ["t", "k"], "left")
-    dealt = dealt.select("fp", "node", "t", "k", chunks.alias("g"), mine.alias("c"))
+    dealt = dealt.select(*carried, "t", "k", chunks.alias("g"), mine.alias("c"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.least(j, F.col("c")) * F.col("g") + F.greatest(j, F.col("c"))))
-    dealt = dealt.select("fp", "node", "t", "k", pair.alias("p")).select(F.xxhash64("t", "k", "p").alias("group"), "fp", "node")
-    links = _searched(dealt, radius)
+    dealt = dealt.select(*carried, "t", "k", pair.alias("p")).select(F.xxhash64("t", "k", "p").alias("group"), *carried)
+    links = _searched(dealt, radius, limit)
     if by_words.isEmpty():
         return links
     return links.unionAll(word_links(entries.join(by_words, ["t", "k"], "left_semi"), masks, radius))
 
 
-def _searched(members: DataFrame, radius: int) -> DataFrame:
+def _searched(members: DataFrame, radius: int, limit: int | None = None) -> DataFrame:
     # two buckets of one hash would only be searched together; a link is checked on all bits
-    return members.repartition("group").sortWithinPartitions("group").mapInPandas(_forests(radius), "a long, b long")
+    return members.repartition("group").sortWithinPartitions("group").mapInPandas(_forests(radius, limit), "a long, b long")
 
 
 def word_links(entries: DataFrame, masks: list[int], radius: int) -> DataFrame:
@@ -373,35 +474,51 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
     """(doc_id, fp long, fingerprint hex, component_id) for every row of `docs`."""
     fps = cut(fingerprints(docs, id_col, text_col, width), "fps")
-    nodes = cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    return _grouped(fps, ["fp"], lambda nodes: bucket_links(nodes, radius)).select(
+        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, radius: int = 4) -> DataFrame:
+    """(doc_id, component_id) for every row of `docs`: two texts are linked if one of their TABLES
+    fingerprints differs in at most `radius` bits and their sketches say that their sets of shingles of `width` words are
+    similar by `similarity` or more (`sketch_limit`). Both are estimates: see the README for what they find."""
+    found = cut(signatures(docs, id_col, text_col, width), "fps")
+    limit = sketch_limit(similarity)
+    return _grouped(found, [*CODES, *SKETCHES], lambda nodes: bucket_links(nodes, radius, codes=tuple(CODES), limit=limit)).select("doc_id", "component_id")
+
+
+def _grouped(fps: DataFrame, key: list[str], links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`fps` (doc_id, `key`) with the component_id of each row; rows of one key are one node of `links`."""
+    known = fps.where("doc_id is not null")
+    nodes = cut(known.groupBy(*key).agg(F.min("doc_id").alias("node")), "nodes")
+    edges = links(nodes)
     # a doc_id with several texts ties its fingerprints together; so does each link
-    same = fps.where("doc_id is not null").select(F.col("fp").alias("f"), F.col("doc_id").alias("a")).join(nodes, F.col("f") == F.col("fp"))
-    same = same.select("a", F.col("node").alias("b"))
-    several = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id")
+    several = known.groupBy("doc_id").agg(F.countDistinct(F.struct(*key)).alias("n")).where("n > 1").select("doc_id")
     several = cut(several, "several")
-    if several.isEmpty():
-        edges = bucket_links(nodes, radius)
-    else:
-        edges = bucket_links(nodes, radius).unionAll(same.join(several, F.col("a") == F.col("doc_id")).select("a", "b").distinct())
+    if not several.isEmpty():
+        same = known.join(several, "doc_id", "left_semi").join(nodes, key).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+        edges = edges.unionAll(same.distinct())
     found = components(edges)
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    named = cut(named, "named").select(F.col("fp").alias("of"), "component_id")
-    out = fps.join(named, F.col("fp") == F.col("of"), "left")
-    return out.select(
-        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
-    )
+    named = nodes.join(found, "node", "left").select(*[F.col(c).alias(f"of_{c}") for c in key], F.coalesce("root", "node").alias("component_id"))
+    named = cut(named, "named")
+    out = fps.join(named, [F.col(c) == F.col(f"of_{c}") for c in key], "left")
+    return out.select("doc_id", *key, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
-    """`docs` with one row of each group of near duplicates: that of the smallest
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, similarity: float | None = None) -> DataFrame:
+    """`docs` with one row of each group of near duplicates (with a `similarity`, of `similar` texts): that of the smallest
     id; of rows that share an id and are no others' copies, one stays. Rows without an id
     stay. All columns are kept.
 
     Only the ids that go are joined to the texts. They are a share of the documents, so their
     size has no bound and they are not broadcast: the texts are shuffled once at every size.
     """
-    ids = near_duplicates(docs, id_col, text_col, radius, width).where("doc_id is not null")
+    if similarity is None:
+        ids = near_duplicates(docs, id_col, text_col, radius, width)
+    else:
+        ids = similar(docs, id_col, text_col, similarity, width, radius)
+    ids = ids.where("doc_id is not null")
     found = cut(ids.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")).where("c <> doc_id or n > 1"), "leaving")
     gone, again = found.where("c <> doc_id"), found.where("c = doc_id")
     out = docs.join(gone.select(F.col("doc_id").alias("gone_id")).hint("merge"), docs[id_col] == F.col("gone_id"), "left_anti")

@@ -181,6 +181,80 @@ def test_near_duplicates_ids(spark):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def brute_signature(text, width=5):
+    words = (text or "").lower().split()
+    shingles = {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+    def hashes(items, i):
+        for s in items:
+            x = int.from_bytes(xxhash.xxh64_digest(s.encode()), "little") + (i + 1) * 0x9E3779B97F4A7C15
+            for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x &= (1 << 64) - 1
+                x = (x ^ x >> shift) * by
+            x &= (1 << 64) - 1
+            yield (x ^ x >> 31).to_bytes(8, "little")
+
+    def majority(items, i):
+        found = [int.from_bytes(h, "big") for h in hashes(items, i)]
+        bits = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in found) > len(found))
+        return int.from_bytes(bits.to_bytes(8, "big"), "little", signed=True)
+
+    return [majority(set(words), i) for i in range(simhash.TABLES)] + [majority(shingles, i) for i in range(simhash.SKETCH)]
+
+
+def test_signature(monkeypatch):
+    rng = random.Random(8)
+    texts = ["", None, " \t", "One", "a b c d", "a b c d e", "a b c d e f", "x " * 50, prose(rng, 400)]
+    want = [brute_signature(t) for t in texts]
+    assert [simhash.signature(t) for t in texts] == want and want[0] == [0] * 8
+    monkeypatch.setattr(simhash, "STEP", 7)  # long texts are hashed and counted in steps
+    assert [simhash.signature(t) for t in texts] == want
+
+
+def test_similar(spark, monkeypatch):
+    """Groups equal those of all pairs, also where every bucket is dealt out; near copies meet, texts alike in words only don't."""
+    rng = random.Random(12)
+    texts = [prose(rng, 80) for _ in range(20)] + ["", None, "  ", "same text here", "same text here"]
+    first = prose(rng, 300).split()
+    for k in range(40):
+        near = list(first)
+        for place in rng.sample(range(300), 1 + k % 3):  # at most six changes apart: 0.8 and more
+            near[place] = f"changed{rng.randrange(99)}"
+        texts.append(" ".join(near))
+    texts.append(" ".join(sorted(first)))  # the same words in another order
+    ids = rng.sample(range(1000), len(texts))
+    df = docs(spark, texts, ids=ids).withColumn("f0", F.lit("clash")).withColumn("s0", F.lit(1)).withColumn("node", F.lit(1))
+    codes = np.array([brute_signature(t) for t in texts], np.int64).view(np.uint64)
+    limit = simhash.sketch_limit(0.8)
+    near = []
+    for a in range(len(texts)):
+        for b in range(a):
+            apart = np.bitwise_count(codes[a] ^ codes[b]).astype(int)
+            if apart[: simhash.TABLES].min() <= 4 and apart[simhash.TABLES :].sum() <= limit:
+                near.append((ids[a], ids[b]))
+    want = spread(near, ids)
+    for chunk in (1024, 4):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        assert {r.doc_id: r.component_id for r in simhash.similar(df).collect()} == want
+    assert len({want[i] for i in ids[25:-1]}) == 1 and want[ids[-1]] == ids[-1]
+    kept = simhash.keep_one(df, width=5, similarity=0.8)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    assert simhash.similar(df.limit(0)).count() == 0
+
+
+def test_similar_ids(spark):
+    """A doc_id with several texts ties their groups; a null doc_id is in no group."""
+    a, b = "a b c d e f g h", "q r s t u v w x"
+    df = docs(spark, [a, a, b, b, None, ""], ids=[5, None, 7, 5, None, 9])
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.similar(df).collect()), key=str)
+    assert got == sorted([(5, 5), (None, None), (7, 5), (5, 5), (None, None), (9, 9)], key=str)
+    assert sorted((r.doc_id for r in simhash.keep_one(df, width=5, similarity=0.8).collect()), key=str) == [5, 9, None, None]
+
+
+def test_sketch_limit():
+    assert simhash.sketch_limit(1.0) == 0 and 38 < simhash.sketch_limit(0.8) < 60 < simhash.sketch_limit(0.5)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = {r.node: r.root for r in simhash.components(edges).collect()}
