@@ -6,7 +6,7 @@ input, so every stage starts without lineage and survives lost executors. Once i
 the stage's input and the operators' intermediate tables are deleted, so the shared folder holds
 two stages at most, and the last one when `run` has ended.
 
-Defined cases: a null or empty text is scored as one empty passage, has the fingerprint zero, is taken
+Defined cases: a null or empty text is scored as one empty passage, is a copy of every other text without words, is taken
 as often as its source's rate says, and packs into the closing id alone. A null doc_id
 is scored and packed, is no one's copy, and draws like the text "null". A null source is a source of its own.
 Rows that share a doc_id count as one document: one of them stays after the near duplicates. Very long texts are read whole by
@@ -36,8 +36,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each group the document of the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Operator 1: of each group of documents whose 5-word shingles are similar by 0.8 or more the one of the smallest id stays."""
+    return simhash.keep_one(docs, width=5, similarity=0.8)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
