@@ -41,6 +41,8 @@ LEAST_DOCS = 4
 REMEMBERED = 250_000
 #: Characters of a run that is one word, and of the texts that are scored together.
 LONGEST, TOGETHER = 40, 2_000_000
+#: Words of the sample's texts that the training looks for deciding passages in at a time, about.
+TRAINED = 1 << 18
 #: Characters from one piece of a longer run to the next, and of a piece: each n-gram is in one.
 STEP = 6
 PIECE = STEP + GRAMS[1] - 1
@@ -192,7 +194,7 @@ class Bags:
         for k in range(0, len(words), 1 << 14):
             owner, bucket = grams(words[k : k + (1 << 14)])
             sizes.append(np.bincount(owner))
-            buckets.append(bucket[np.argsort(owner, kind="stable")])
+            buckets.append(bucket[np.argsort(owner, kind="stable")].astype(np.min_scalar_type(BUCKETS - 1)))
         self.size, self.bucket = np.concatenate(sizes), np.concatenate(buckets)
         self.first = np.cumsum(self.size) - self.size
 
@@ -228,6 +230,32 @@ def gradients(e: np.ndarray, w: np.ndarray, b: np.ndarray, bags: Bags, words: np
     return float(loss), ge, x.T @ d, d.sum(0)
 
 
+def deciding(each: np.ndarray, tokens: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, lead) of the first most toxic passage of each text, from the shares of the words. Text i has
+    the words `tokens[offset[i] : offset[i + 1]]`; an empty one has an empty passage that leads by 0. Texts of some
+    TRAINED words are looked at together, so that what is held besides does not grow with the sample."""
+    start, stop = np.empty((2, len(offset) - 1), np.int64)
+    lead = np.empty(len(start))
+    carry, i = 0.0, 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(offset, offset[i] + TRAINED, "right")) - 1)
+        a, b = offset[i], offset[j]
+        total = np.cumsum(np.r_[carry, each[tokens[a:b]]], dtype=np.float64)
+        carry = total[-1]
+        inside = [passages(n) for n in np.diff(offset[i : j + 1])]
+        many = np.array([len(x) for x in inside])
+        first = np.cumsum(many) - many
+        begin = np.concatenate(inside) + np.repeat(offset[i:j] - a, many)
+        end = np.minimum(begin + PASSAGE, np.repeat(offset[i + 1 : j + 1] - a, many))
+        leads = (total[end] - total[begin]) / np.maximum(1, end - begin)
+        lead[i:j] = np.maximum.reduceat(leads, first)
+        top = np.flatnonzero(leads == np.repeat(lead[i:j], many))
+        top = top[np.searchsorted(top, first)]
+        start[i:j], stop[i:j] = begin[top] + a, end[top] + a
+        i = j
+    return start, stop, lead
+
+
 def train(sample: list[tuple[str, int]], epochs: int = 80, rate: float = 0.1, decay: float = 1e-3, seed: int = 5) -> Model:
     """Embeddings and softmax from (text, label) pairs.
 
@@ -260,30 +288,20 @@ def train(sample: list[tuple[str, int]], epochs: int = 80, rate: float = 0.1, de
     w[1:] = (rng.random((DIM - 1, 2), np.float32) - 0.5) / DIM
     b = np.zeros(2, np.float32)
     adam = Adam((e, w, b), rate)
-    # passages as [start, stop) in the run of all texts, an empty text as the empty one
-    offset = np.cumsum([0, *[len(t) for t in texts]])
+    offset = np.cumsum([0, *map(len, texts)])
     tokens = np.concatenate(texts)
-    start = [passages(len(t)) + o for t, o in zip(texts, offset)]
-    of = np.repeat(np.arange(len(texts)), [len(x) for x in start])
-    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-    start = np.concatenate(start)
-    stop = np.minimum(start + PASSAGE, offset[of + 1])
-    length = np.maximum(1, stop - start)
+    del texts
     classes = np.stack([1 - labels, labels], 1)
     weight = np.where(labels == 1, 0.4 / labels.mean(), 0.6 / (1 - labels.mean())).astype(np.float32)[:, None] / len(labels)
     for epoch in range(epochs):
         each = bags.means(e @ (w[:, 1] - w[:, 0]))
-        total = np.r_[0.0, np.cumsum(each[tokens], dtype=np.float64)]
-        lead = (total[stop] - total[start]) / length
-        best = np.maximum.reduceat(lead, first)
+        start, stop, best = deciding(each, tokens, offset)
         if not epoch:  # begin between the classes' deciding passages
             b[1] = -(np.median(best[labels == 1]) + np.median(best[labels == 0])) / 2
-        rows = np.flatnonzero(lead == best[of])
-        rows = rows[np.r_[True, of[rows][1:] != of[rows][:-1]]]
-        many = stop[rows] - start[rows]
-        doc = np.repeat(np.arange(len(rows)), many)
-        words = tokens[np.arange(len(doc)) + np.repeat(start[rows] - np.cumsum(many) + many, many)]
-        _, ge, gw, gb = gradients(e, w, b, bags, words, doc, length[rows], classes, weight)
+        many = stop - start
+        doc = np.repeat(np.arange(len(labels)), many)
+        words = tokens[np.arange(len(doc)) + np.repeat(start - np.cumsum(many) + many, many)]
+        _, ge, gw, gb = gradients(e, w, b, bags, words, doc, np.maximum(1, many), classes, weight)
         ge += decay * e / used.sum()
         ge[~used] = 0
         adam.step((e, w, b), (ge, gw, gb))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -46,6 +47,32 @@ def test_toxicity_scores():
     assert model.scores(texts) == pytest.approx([brute_score(model, t) for t in texts], abs=1e-6)
 
 
+def test_toxicity_deciding_passages(monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = [0, 1, 2, 3, 4, 5, 40, 0, 300, 7, 0]
+    offset = np.cumsum([0, *sizes])
+    each, tokens = rng.integers(-3, 4, 20).astype(np.float32), rng.integers(0, 20, offset[-1]).astype(np.int32)
+    expected = []
+    for a, b in zip(offset, offset[1:]):
+        n = max(1, min(toxicity.PASSAGE, b - a))
+        leads = [float(sum(each[tokens[i : min(i + n, b)]])) / n for i in range(a, max(a + 1, b - n + 1))]
+        at = a + int(np.argmax(leads))
+        expected.append((at, min(at + n, b), max(leads)))
+    for size in (1, 10, 1 << 18):  # ties: shares are small whole numbers
+        monkeypatch.setattr(toxicity, "TRAINED", size)
+        assert np.transpose(toxicity.deciding(each, tokens, offset)) == pytest.approx(np.array(expected, float))
+
+
+def test_toxicity_training_memory():
+    rng = random.Random(8)
+    sample = [(" ".join(rng.choices(WORDS, k=20_000)), k % 2) for k in range(60)]
+    tracemalloc.start()
+    toxicity.train(sample, epochs=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * 20_000 * 50  # bytes; every passage of all texts at a time takes over 80 a word
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(1)
     bags = toxicity.Bags(WORDS)
