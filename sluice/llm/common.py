@@ -33,6 +33,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Session settings for rows that may be very long: the rows that a Parquet reader holds at a time (4096 by default),
+#: those that a writer takes before it looks for the first time at how much it holds (100 by default), and the bytes of
+#: an Arrow batch (64 MB by default).
+FEW_ROWS = {
+    "spark.sql.parquet.columnarReaderBatchSize": "8", "parquet.page.size.row.check.min": "1",
+    "parquet.block.size.row.check.min": "1", "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
+
+
+def few_rows(spark: SparkSession) -> dict[str, str | None]:
+    """Let readers and writers of this session hold few rows at a time, however long they
+    are; returns what was set before. Results don't depend on it. Spark looks at these settings when a frame
+    is run, so they must stay until then."""
+    before = {k: spark.conf.get(k, None) for k in FEW_ROWS}
+    settings(spark, FEW_ROWS)
+    return before
+
+
+def settings(spark: SparkSession, values: dict[str, str | None]) -> None:
+    """Set these; None unsets."""
+    for k, v in values.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
+
+
 #: Folders written by cut() and not deleted yet.
 _CUTS: set[str] = set()
 
