@@ -105,27 +105,31 @@ def cuts() -> set[str]:
     return set(_CUTS)
 
 
-def pieces(batch: pa.RecordBatch | pa.Array) -> Iterator:
-    """A batch in slices of at most PIECE_ROWS rows and about PIECE_BYTES bytes."""
+def pieces(batch: pa.RecordBatch | pa.Array, rows: int = PIECE_ROWS) -> Iterator:
+    """A batch in slices of at most `rows` rows and about PIECE_BYTES bytes."""
     n = len(batch)
-    step = max(1, min(PIECE_ROWS, n * PIECE_BYTES // max(1, batch.nbytes)))
+    step = max(1, min(rows, n * PIECE_BYTES // max(1, batch.nbytes)))
     for at in range(0, n, step):
         yield batch.slice(at, step)
 
 
-def map_columns(df: DataFrame, run: Callable[[Iterator[list[list]]], Iterator[list]], schema: str) -> DataFrame:
-    """Each partition through `run`, which gets its rows piece by piece, a list per column,
-    and yields lists per column of `schema`. Whole numbers stay exact beside nulls."""
+def map_pieces(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[list]], schema: str, rows: int = PIECE_ROWS) -> DataFrame:
+    """Each partition through `run`, which gets its rows in slices of batches and yields lists per column of `schema`."""
     kind = to_arrow_schema(StructType.fromDDL(schema))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = ([c.to_pylist() for c in part.columns] for batch in batches for part in pieces(batch))
-        for out in run(parts):
+        for out in run(part for batch in batches for part in pieces(batch, rows)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind)], schema=kind)
 
     return df.mapInArrow(work, schema)
 
 
+def map_columns(df: DataFrame, run: Callable[[Iterator[list[list]]], Iterator[list]], schema: str) -> DataFrame:
+    """Each partition through `run`, which gets its rows piece by piece, a list per column,
+    and yields lists per column of `schema`. Whole numbers stay exact beside nulls."""
+    return map_pieces(df, lambda parts: run([c.to_pylist() for c in part.columns] for part in parts), schema)
+
+
 def score_column(scores: Callable[[], Callable[[list], list[float]]]):
     """A column function text -> double; `scores()` makes a worker's function over a list of texts."""
 

@@ -22,28 +22,41 @@ from __future__ import annotations
 
 import os
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import map_pieces
 
 SIZE = 4096
 CLOSE = 2
+CLOSING = CLOSE.to_bytes(4, "little")
 #: Tokens packed at a time; the last, still open window goes on with the next block.
 BLOCK = 1 << 20
 #: Longest item between two places of the dynamic programme.
 MOST_ITEM = 64
 #: Penalties in padding tokens: a cut inside a document, and one inside a sentence.
 IN_DOCUMENT, IN_SENTENCE = 2, 12
-#: Words, and runs of letters, whose ids a worker remembers (about 130 MB), and the longest of them.
+#: Rows of a batch that are encoded together, if not too long.
+PART_ROWS = 4000
+#: Different words that are looked up at a time.
+WORDS = 1 << 16
+#: Words that are not letters and signs, and runs of letters, whose ids a worker remembers (about 130 MB), and the longest of them.
 REMEMBERED, LETTERS, LONGEST = 250_000, 400_000, 64
 #: Signs that may follow a word's letters, and how many runs of them are remembered.
 SIGNS, SIGN_RUNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", 5000
+#: The characters by which a byte-level file names bytes: those not printed are moved up. The space stays, to part words.
+_MOVED = [b for b in range(256) if b not in {*range(33, 127), *range(161, 173), *range(174, 256)}]
+BYTE_SIGNS = np.arange(256, dtype="<u4")
+BYTE_SIGNS[_MOVED] = 256 + np.arange(len(_MOVED))
+BYTE_SIGNS[32] = 32
 
 #: A row per piece; `ids` holds its tokens as little-endian 32-bit numbers.
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -52,95 +65,108 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 class Encoder:
     """Ids of texts by a word-level BPE file whose pre-tokens never hold white space.
 
-    A text's ids are those of its space-separated words in a row, so words are
-    encoded once and remembered. A new word of letters, perhaps with signs behind them, is
-    looked up by its lower-case letters and its signs; the letters not yet known are
-    encoded together, past the file's pattern, and told apart by the tokens that end a word.
+    A text's ids are those of its space-separated words in a row, so many texts are split at
+    once by Arrow and each of their different words is encoded once. A word of letters, perhaps with signs
+    behind them, is put together from the ids of both, which are remembered; letters not yet
+    known go straight to the file's model, other words through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = Tokenizer(self.tokenizer.model)
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.model = self.tokenizer.model
         vocab = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         #: tokens that close a sentence
-        self.stops = np.zeros(len(self.ends_word), bool)
+        self.stops = np.zeros(max(vocab.values()) + 1, bool)
         self.stops[[i for t, i in vocab.items() if t.endswith("</w>") and t[:-4].strip(".!?") == "" != t[:-4]]] = True
         self.ids: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {"": b""}
+        self.signs: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
+        # in a file that takes letters otherwise, all words go through the whole tokenizer
+        every = [c for c in map(chr, range(0x250)) if c.lower().isalpha() and max(c.lower()) < "\u0250"]
+        every.append("".join(every))
+        self.by_model = self._encode(every) == self._by_model([c.lower() for c in every])
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(f.ids, "<u4").tobytes() for f in found]
-
-    def _letters(self, new: list[str]) -> None:
-        """Remember the ids of lower-case letter runs."""
-        ids = np.array(self.plain.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-        stops = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
-        if len(stops) != len(new):  # a run of letters is not one word of this file
-            self.letters.update(zip(new, self._encode(new)))
-            return
-        raw, at = ids.tobytes(), 0
-        for word, stop in zip(new, stops):
-            self.letters[word] = raw[at:stop]
-            at = stop
-
-    def _learn(self, new: list[str]) -> None:
-        """Remember the ids of words."""
-        split, odd, unknown = [], [], []
-        letters, signs = self.letters, self.signs
-        for word in new:
-            if word.isalpha():
-                stem, sign = word.lower(), ""
-            else:
-                stem = word.rstrip(SIGNS)
-                sign = word[len(stem) :]
-                stem = stem.lower()
-            # NFC leaves such letters alone, and lowering one does not depend on others
-            if stem.isalpha() and len(word) <= LONGEST and (stem.isascii() or max(stem) < "\u0250"):
-                split.append((word, stem, sign))
-                if stem not in letters:
-                    letters[stem] = b""
-                    unknown.append(stem)
-                if sign not in signs:
-                    if len(signs) > SIGN_RUNS:
-                        signs.clear()
-                        signs[""] = b""
-                        signs.update((g, self._encode([g])[0]) for g in {g for _, _, g in split if g})
-                    signs[sign] = self._encode([sign])[0]
-            else:
-                odd.append(word)
-        for k in range(0, len(unknown), 4096):
-            self._letters(unknown[k : k + 4096])
-        for word, stem, sign in split:
-            self.ids[word] = letters[stem] + signs[sign] if sign else letters[stem]
-        for k in range(0, len(odd), 4096):
-            self.ids.update(zip(odd[k : k + 4096], self._encode(odd[k : k + 4096])))
+        """Ids by the whole tokenizer."""
+        out = []
+        for k in range(0, len(words), 4096):
+            found = self.tokenizer.encode_batch_fast(words[k : k + 4096], add_special_tokens=False)
+            out += [np.array(f.ids, "<u4").tobytes() for f in found]
+        return out
+
+    def _by_model(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case runs of letters, each a pre-token."""
+        out = []
+        for k in range(0, len(words), 1024):
+            shown = BYTE_SIGNS[np.frombuffer(" ".join(words[k : k + 1024]).encode(), np.uint8)]
+            found = list(map(self.model.tokenize, shown.tobytes().decode("utf-32-le").split(" ")))
+            raw = np.array([t.id for f in found for t in f], "<u4").tobytes()
+            stops = list(accumulate(4 * len(f) for f in found))
+            out += [raw[at:stop] for at, stop in zip([0, *stops], stops)]
+        return out
+
+    def _runs(self, stems: list[str]) -> Iterable[tuple[str, bytes]]:
+        """Ids of those that are runs of letters, which NFC leaves alone and of which lowering one does not depend on others."""
+        runs, lower = [], []
+        for stem in stems:
+            low = stem.lower()
+            if not low or self.by_model and low.isalpha() and len(stem) <= LONGEST and (low.isascii() or max(low) < "\u0250"):
+                runs.append(stem)
+                lower.append(low)
+        return zip(runs, self._by_model(lower))
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of different words."""
+        whole, stems = strings(words), strings(pc.ascii_rtrim(words, SIGNS))
+        heads = remembered(self.letters, stems, LETTERS, self._runs)
+        signs = [w[len(s) :] for w, s in zip(whole, stems)]
+        tails = remembered(self.signs, signs, SIGN_RUNS, lambda new: zip(new, self._encode(new)))
+        odd = [k for k, head in enumerate(heads) if head is None]
+        for k, ids in zip(odd, remembered(self.ids, [whole[k] for k in odd], REMEMBERED, lambda new: zip(new, self._encode(new)))):
+            heads[k], tails[k] = ids, b""
+        return pc.binary_join_element_wise(pa.array(heads, pa.large_binary()), pa.array(tails, pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text begins and the last ends, ends of sentences)."""
+        # no special token, whose case counts
+        plain = pc.and_not(pc.string_is_ascii(texts), pc.match_substring(texts, "<|"))
+        texts = pc.if_else(plain, pc.ascii_lower(texts), texts)
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        bounds = words.offsets.to_numpy()
+        words = words.flatten().dictionary_encode()
+        some = [self._words(words.dictionary.slice(k, WORDS)) for k in range(0, len(words.dictionary) or 1, WORDS)]
+        found = pa.concat_arrays(some).take(words.indices)
+        _, offsets, data = found.buffers()
+        at = np.frombuffer(offsets, np.int64, len(found) + 1)[bounds - bounds[0]] // 4
+        ids = np.frombuffer(data or b"", "<u4", int(at[-1]))
+        return ids, at, np.flatnonzero(self.stops[ids]) + 1
 
     def encode(self, text: str) -> tuple[bytes, np.ndarray]:
         """(ids as little-endian 32-bit numbers, ends of sentences in ids)."""
-        if text.isascii() and "<|" not in text:  # no special token, whose case counts
-            text = text.lower()
-        words = text.replace("\n", " ").split(" ")
-        new = set(words).difference(self.ids)
-        if new:
-            if len(self.ids) + len(new) > REMEMBERED:
-                self.ids.clear()
-                new = set(words)
-            if len(self.letters) > LETTERS:
-                self.letters.clear()
-            self._learn(list(new))
-        out = b"".join(map(self.ids.__getitem__, words))
+        ids, _, ends = self.encode_all(pa.array([text]))
+        return ids.tobytes(), ends
+
+
+def strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def remembered(memory: dict[str, bytes], words: list[str], most: int, encode: Callable[[list[str]], Iterable]) -> list[bytes | None]:
+    """Each word's ids; `encode` gives pairs for those that `memory` lacks, which holds about `most` and no long ones."""
+    out = list(map(memory.get, words))
+    new = {word for word, ids in zip(words, out) if ids is None}
+    if new:
+        if len(memory) + len(new) > most:
+            memory.clear()
+        memory.update(encode(list(new)))
+        out = [memory.get(word) if ids is None else ids for word, ids in zip(words, out)]
         for word in new:
             if len(word) > LONGEST:
-                del self.ids[word]
-        return out, np.flatnonzero(self.stops[np.frombuffer(out, "<u4")]) + 1
+                memory.pop(word, None)
+    return out
 
 
 @lru_cache(1)
@@ -148,23 +174,22 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def places(ends: np.ndarray, total: int, most: int = MOST_ITEM) -> tuple[np.ndarray, np.ndarray]:
+def places(ends: np.ndarray, total: int | np.ndarray, most: int = MOST_ITEM) -> tuple[np.ndarray, np.ndarray]:
     """Where a document of `total` tokens may be cut, and each cut's penalty; the last is its end.
-    No two are more than `most` tokens apart."""
-    every = np.empty(len(ends) + 1, np.int64)
-    every[:-1], every[-1] = ends, total  # the closing id is behind the last sentence
-    ends = every
+    No two are more than `most` tokens apart. `total` may also be the ends of many documents in a row."""
+    stops = np.atleast_1d(total)
+    at = np.searchsorted(ends, stops)  # the closing id is behind the last sentence
+    ends = np.insert(ends, at, stops)
+    cost = np.full(len(ends), IN_DOCUMENT)
+    cost[at + np.arange(len(stops))] = 0
     gaps = np.diff(ends, prepend=0)
-    if gaps.max() <= most:
-        cost = np.full(len(ends), IN_DOCUMENT)
-        cost[-1] = 0
-        return ends, cost
-    more = [np.arange(e - g + most, e, most) for e, g in zip(ends, gaps) if g > most]
-    inside = np.concatenate(more)
-    every = np.r_[ends, inside]
-    cost = np.r_[np.full(len(ends) - 1, IN_DOCUMENT), 0, np.full(len(inside), IN_SENTENCE)]
-    order = np.argsort(every, kind="stable")
-    return every[order], cost[order]
+    parts = (gaps - 1) // most + 1
+    last = np.cumsum(parts)
+    every = np.repeat(ends - gaps - (last - parts) * most, parts) + most * np.arange(1, last[-1] + 1)
+    every[last - 1] = ends
+    costs = np.full(len(every), IN_SENTENCE)
+    costs[last - 1] = cost
+    return every, costs
 
 
 def windows(at: list[int], cost: list[int], size: int) -> list[int]:
@@ -215,12 +240,23 @@ class Stream:
         self.tokens = 0
 
     def add(self, doc_id, ids: bytes, ends: np.ndarray) -> Iterator[tuple]:
-        ids += CLOSE.to_bytes(4, "little")
-        total = len(ids) // 4
-        self.open.append((doc_id, ids, 0, total, *places(ends, total, min(MOST_ITEM, self.size))))
-        self.tokens += total
-        if self.tokens >= BLOCK:
-            yield from self.pack(False)
+        yield from self.add_all([doc_id], np.frombuffer(ids, "<u4"), np.array([0, len(ids) // 4]), ends)
+
+    def add_all(self, doc_ids: list, ids: np.ndarray, at: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
+        """Documents in a row, as `Encoder.encode_all` gives them."""
+        number = np.arange(len(at))
+        closed = at + number  # with the closing id behind each document
+        ends = ends + np.searchsorted(at[1:], ends)
+        where, cost = places(ends, closed[1:], min(MOST_ITEM, self.size))
+        split = np.searchsorted(where, closed, "right").tolist()
+        at, closed = at.tolist(), closed.tolist()
+        for k, doc_id in enumerate(doc_ids):
+            total = closed[k + 1] - closed[k]
+            mine = slice(split[k], split[k + 1])
+            self.open.append((doc_id, ids[at[k] : at[k + 1]].tobytes() + CLOSING, 0, total, where[mine] - closed[k], cost[mine]))
+            self.tokens += total
+            if self.tokens >= BLOCK:
+                yield from self.pack(False)
 
     def pack(self, last: bool) -> Iterator[tuple]:
         """Pieces of the open documents; all but the last window's, if not `last`."""
@@ -260,15 +296,15 @@ class Stream:
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """One row per piece; `tokenizer` is the path of the vocabulary file on every machine."""
-    def run(parts: Iterator[list[list]]) -> Iterator[list]:
-        encode = encoder(tokenizer).encode
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        encode = encoder(tokenizer).encode_all
         stream = Stream(TaskContext.get().partitionId() << 40, size)
-        for ids, texts in parts:
-            out = [piece for doc_id, text in zip(ids, texts) for piece in stream.add(doc_id, *encode(text))]
+        for part in parts:
+            out = list(stream.add_all(part.column(0).to_pylist(), *encode(part.column(1))))
             if out:
                 yield zip(*out)
         out = list(stream.pack(True))
         if out:
             yield zip(*out)
 
-    return map_columns(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), run, PIECES)
+    return map_pieces(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), run, PIECES, PART_ROWS)

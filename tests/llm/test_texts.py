@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -211,6 +213,67 @@ def test_ids_with_a_small_memory(encoder, monkeypatch):
         assert fresh.encode(text)[0] == encoder.encode(text)[0]
 
 
+def test_ids_of_many_texts_at_once(encoder, monkeypatch):
+    fresh = packing.Encoder(tokenizer_path("word_bpe_49k.json"))
+    assert fresh.by_model
+    monkeypatch.setattr(packing, "WORDS", 7)
+    texts = ["", *ODD, "", "Stone river. Wind!\nÉté, l'été ÀÉÎ<|", "a" * 64 + " " + "b" * 65 + " " + "!" * 200, ""]
+    for by_model in (True, False):  # False: a file that takes letters otherwise
+        fresh.by_model = by_model
+        fresh.letters.clear()
+        for some in (pa.array(texts), pa.array(["x", *texts, "y"])[1:-1], pa.array(["", ""]), pa.array([], pa.string())):
+            ids, at, ends = fresh.encode_all(some)
+            assert at[0] == 0 and len(at) == len(some) + 1 and at[-1] == len(ids)
+            for k, text in enumerate(some.to_pylist()):
+                want, stops = encoder.encode(text)
+                assert ids[at[k] : at[k + 1]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+                assert ids[at[k] : at[k + 1]].tobytes() == want
+                assert (ends[(ends > at[k]) & (ends <= at[k + 1])] - at[k]).tolist() == stops.tolist()
+
+
+def test_packing_many_documents_at_once():
+    rng = np.random.default_rng(2)
+    sizes = [0, 5, 0, 300, 64, 65, 1, 0]
+    at = np.cumsum([0, *sizes])
+    ids = rng.integers(3, 99, at[-1]).astype("<u4")
+    ends = np.unique(rng.integers(1, at[-1] + 1, 40))
+    for size in (1, 32, 128):
+        one, many = packing.Stream(0, size), packing.Stream(0, size)
+        want = [p for k in range(len(sizes)) for p in one.add(k, ids[at[k] : at[k + 1]].tobytes(), ends[(ends > at[k]) & (ends <= at[k + 1])] - at[k])]
+        found = list(many.add_all(list(range(len(sizes))), ids, at, ends))
+        assert found + list(many.pack(True)) == want + list(one.pack(True))
+
+
+def test_packing_calls_little_for_each_document_and_word(spark, monkeypatch):
+    class Frame:  # keeps what would run on the executors
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, work, schema):
+            self.work = work
+            return self
+
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": classmethod(lambda cls: cls), "partitionId": staticmethod(lambda: 0)}))
+    work = packing.pack(Frame(), tokenizer_path("word_bpe_49k.json")).work
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = [f"{word()} {word()}, {word()} {word()}. Then the stone, the river and the wind. " * 3 for _ in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(900)), pa.array(texts)], names=["doc_id", "text"])
+    list(work(iter([batch.slice(0, 1)])))  # the file is loaded
+    calls = [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        found = list(work(iter([batch])))
+    finally:
+        sys.setprofile(None)
+    assert len({i for b in found for i in b.column("doc_id").to_pylist()}) == 900
+    assert calls[0] < 90 * 900, calls[0] / 900
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 6), st.integers(0, 4)), min_size=1, max_size=9))
 def test_windows_are_optimal(items):
